@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, mixing, pii, sharding, token_count, warc
+from . import decontaminate, exact_dedup, html_text, mixing, pii, sharding, token_count, toxicity, warc
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "times", "source")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -74,7 +79,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_pii, op2_html_text, op3_mixing, op6_decontamination, op7_warc, op8_token_counts, op9_sharding, op10_exact_dedup)
+    for f in (op1_pii, op2_html_text, op3_mixing, op5_toxicity, op6_decontamination, op7_warc, op8_token_counts, op9_sharding, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
