@@ -3,9 +3,28 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a Spark application, so Python functions import there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="gleanery-")) / "gleanery.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "gleanery") -> SparkSession:
     """A local session in UTC with adaptive execution, for tests and the bench."""
