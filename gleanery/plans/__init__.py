@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("text_scalars", "ranking", "relational")
 
 
 def load() -> None:
