@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text_scalars", "ranking", "relational")
+MODULES: tuple[str, ...] = ("text_scalars", "ranking", "relational", "evidence_queries", "streams")
 
 
 def load() -> None:
