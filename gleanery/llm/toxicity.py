@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, tune
+from ._common import free_name, materialize, tune
 
 #: Labelled rows that are learned from at most; terms kept at most; factors a term.
 MAX_ROWS, KEPT, FACTORS = 12_000, 2048, 8
@@ -101,18 +101,20 @@ class FactorizationMachine:
                 p["w"] = np.sign(p["w"]) * np.maximum(np.abs(p["w"]) - lr * l1, 0)
 
 
-def choose_terms(rows: list[np.ndarray], y: np.ndarray, kept: int = KEPT, z: float = 4.0) -> np.ndarray:
-    """The terms whose shares differ most between the labels, of those in at least 3 rows and one row in 1,500."""
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    empty = np.empty(0, np.uint32)
-    ids, where = np.unique(np.concatenate([empty, *rows]), return_inverse=True)
-    per_row = np.repeat(y, [len(r) for r in rows])
-    total, toxic = np.bincount(where, minlength=len(ids)), np.bincount(where, per_row, minlength=len(ids))
-    share = total / (n0 + n1)
-    score = np.abs(toxic / n1 - (total - toxic) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n0 + 1 / n1))
-    good = np.flatnonzero((total >= max(3, len(rows) // 1500)) & (score >= z))
-    best = good[np.lexsort((ids[good], -score[good]))][:kept]
-    return np.sort(ids[best])
+def choose_terms(rows: DataFrame, kept: int = KEPT, z: float = 4.0) -> np.ndarray:
+    """The terms whose shares differ most between the labels, of those in at least 3 rows and one row in 1,500.
+
+    ``rows``: y, ids. Terms are counted by Spark; the driver gets the ``kept`` best.
+    """
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).first()
+    n, n1 = size["n"], max(size["toxic"] or 0, 1)
+    n0 = max(n - n1, 1)
+    share = F.col("total") / n
+    gap = F.abs(F.col("toxic") / n1 - (F.col("total") - F.col("toxic")) / n0)
+    score = gap / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n0 + 1 / n1))
+    counts = rows.select("y", F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("total"), F.sum("y").alias("toxic"))
+    good = counts.filter(F.col("total") >= max(3, n // 1500)).withColumn("score", score).filter(F.col("score") >= z)
+    return np.sort(np.array([r["id"] for r in good.orderBy(F.desc("score"), "id").limit(kept).collect()], np.int64).astype(np.uint32))
 
 
 def held_out(id_: Column) -> Column:
@@ -133,19 +135,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([term_ids(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["key", "y", "ids"])
+            ids = [term_ids(t).astype(np.int64) for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["key", "y", "ids"])
 
     picked = docs.select(id_col, F.col(text_col).alias("g_text")).join(F.broadcast(known), id_col)
     kind = dict(docs.dtypes)[id_col]
-    found = picked.select(F.col(id_col), "g_label", "g_text").mapInArrow(featurize, f"key {kind}, y int, ids binary").dropDuplicates(["key"]).collect()
-    found.sort(key=lambda r: r["key"])
-    rows, y = [np.frombuffer(r["ids"], np.uint32) for r in found], np.array([r["y"] for r in found], float)
+    rows = materialize(picked.select(F.col(id_col), "g_label", "g_text").mapInArrow(featurize, f"key {kind}, y int, ids array<long>").dropDuplicates(["key"]), "toxic-terms")
+    model = FactorizationMachine(choose_terms(rows))
+    terms = docs.sparkSession.createDataFrame([(i, int(t)) for i, t in enumerate(model.terms)], "at int, id long")
+    located = rows.select("key", "y", F.explode_outer("ids").alias("id")).join(F.broadcast(terms), "id", "left").groupBy("key", "y").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    found = sorted(located.collect(), key=lambda r: r["key"])  # at most max_rows rows of kept terms
+    y = np.array([r["y"] for r in found], float)
     if not len(y) or y.min() == y.max():
         model = FactorizationMachine(np.empty(0, np.uint32))
         model.p["b"][0] = -30.0
         return model
-    model = FactorizationMachine(choose_terms(rows, y))
-    model.fit([model.locate(r) for r in rows], y)
+    model.fit([np.array(r["at"], np.int64) for r in found], y)
     return model
 
 
