@@ -42,7 +42,7 @@ def merge_runs(rows: DataFrame, keep: str = "max", leaves: int = 64, fan_in: int
         leaves = -(-leaves // fan_in)
         keys = ["digest", "bytes"] + ([F.floor(F.col("leaf") / fan_in).alias("leaf")] if leaves > 1 else [])
         runs = runs.groupBy(*keys).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return runs
+    return runs.drop("leaf")  # a single leaf needs no round
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:

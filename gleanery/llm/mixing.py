@@ -5,8 +5,9 @@ interchangeable, so they are aggregated first. The flow network has an arc from
 of its sources. A pattern supplies its size up to ``copies`` times, at a cost that grows with every
 repetition (convex), and each source draws its target. The solved flow says how many words of each
 pattern are taken; whole copies go to every document of the pattern and the rest to documents in the
-order of a seeded hash, up to a threshold that bucketed sums find without sorting a source. One more
-document, the one nearest in size to what is still missing, closes the gap.
+order of a seeded hash, up to a threshold that bucketed sums find without sorting a source. A few more
+documents close the gap: of the next ``CLOSERS`` of every size class the largest that still fit, and
+then the one, if any, that brings the sum nearer to the target; or that one alone where it comes nearer.
 
 Targets: sources in code-point order, null last, weigh ``weights`` in turn and share ``factor`` times
 all sizes; a target stops at ``copies`` times its source's size and the excess is shared again by
@@ -25,7 +26,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import free_name, materialize
@@ -33,6 +35,8 @@ from ._common import free_name, materialize
 WORD = r"[^\x20\x09-\x0D]+"
 BITS = 12
 LEVELS = 5
+#: Documents of each pattern and size class (a factor of 2) that may close its gap.
+CLOSERS = 8
 
 
 def targets_of(sizes: dict, weights: Sequence[int] = (3, 1, 2), factor: float = 1.5, copies: int = 2) -> dict:
@@ -149,7 +153,7 @@ def _below(h: Column, digits: Sequence[Column]) -> Column:
 
 
 def plan_mix(rows: DataFrame, members: dict[int, tuple], weights: Sequence[int] = (3, 1, 2), factor: float = 1.5, copies: int = 2) -> tuple[DataFrame, dict, dict]:
-    """The plan by pattern (whole copies, threshold digits, the closing hash), targets and sizes by source.
+    """The plan by pattern (whole copies, threshold digits, the closing hashes), targets and sizes by source.
 
     ``rows``: pattern, h, size; ``members``: the sources of each pattern.
     """
@@ -167,23 +171,37 @@ def plan_mix(rows: DataFrame, members: dict[int, tuple], weights: Sequence[int]
     cut = thresholds(rows, quota)
     columns = ", ".join(f"d{i} long" for i in range(LEVELS + 1))
     plan = spark.createDataFrame([(p, whole[p], quota[p] - cut[p][1], *cut[p][0]) for p in order], f"pattern long, whole long, missing long, {columns}")
-    gap = F.abs(F.col("missing") - F.col("size"))
-    closing = (
-        rows.join(F.broadcast(plan), "pattern")
-        .filter(~_below(F.col("h"), [F.col(f"d{i}") for i in range(LEVELS + 1)]) & (F.col("whole") < copies) & (F.col("missing") > 0))
-        .groupBy("pattern", "h")
-        .agg(F.sum("size").alias("size"), F.first("missing").alias("missing"))
-        .filter(gap < F.col("missing"))
-        .groupBy("pattern")
-        .agg(F.min_by("h", F.struct(gap, F.col("h"))).alias("closing"))
-    )
+    open_ = rows.filter(F.col("size") > 0).join(F.broadcast(plan), "pattern").filter((F.col("whole") < copies) & (F.col("size") < 2 * F.col("missing")))
+    open_ = open_.filter(~_below(F.col("h"), [F.col(f"d{i}") for i in range(LEVELS + 1)])).withColumn("class", F.floor(F.log2("size")))
+    next_ = open_.withColumn("place", F.rank().over(Window.partitionBy("pattern", "class").orderBy("h"))).filter(F.col("place") <= CLOSERS)
+    closers = next_.groupBy("pattern", "h").agg(F.sum("size").alias("size"), F.first("missing").alias("missing"))
+    closing = closers.groupBy("pattern").applyInPandas(_close, "pattern long, closing array<long>")
     last = {r["pattern"]: r["closing"] for r in closing.collect()}
-    plan = spark.createDataFrame([(p, whole[p], last.get(p), *cut[p][0]) for p in order], f"pattern long, whole long, closing long, {columns}")
+    plan = spark.createDataFrame([(p, whole[p], last.get(p, []), *cut[p][0]) for p in order], f"pattern long, whole long, closing array<long>, {columns}")
     return plan, targets, sizes
 
 
+def _close(candidates: pd.DataFrame) -> pd.DataFrame:
+    """The hashes that close the gap of one pattern; at most ``CLOSERS`` candidates a size class."""
+    missing = int(candidates["missing"].iloc[0])
+    free = sorted(zip(candidates["size"].tolist(), candidates["h"].tolist()), reverse=True)
+    best: tuple[int, list[int]] = (missing, [])
+    for fit_first in (True, False):
+        left, picked = missing, []
+        for size, h in free if fit_first else ():
+            if size <= left:
+                picked.append(h)
+                left -= size
+        rest = [c for c in free if c[1] not in picked]
+        if rest and abs(left - (last := min(rest, key=lambda c: (abs(left - c[0]), c[1])))[0]) < left:
+            picked.append(last[1])
+            left -= last[0]
+        best = min(best, (abs(left), picked), key=lambda b: (b[0], len(b[1])))
+    return pd.DataFrame({"pattern": [candidates["pattern"].iloc[0]], "closing": [best[1]]})
+
+
 def _taken(h: Column) -> Column:
-    more = _below(h, [F.col(f"d{i}") for i in range(LEVELS + 1)]) | F.coalesce(h == F.col("closing"), F.lit(False))
+    more = _below(h, [F.col(f"d{i}") for i in range(LEVELS + 1)]) | F.array_contains("closing", h)
     return (F.col("whole") + more.cast("long")).cast("long")
 
 
@@ -241,6 +259,6 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = plan.select(F.col(source), F.struct(*taken).alias(times))
     rows = docs.withColumn(h, _hash(seed, id_col, text_col)).join(F.broadcast(plan), F.col(source_col).eqNullSafe(F.col(source)))
     digits = [F.col(times)[f"d{i}"] for i in range(LEVELS + 1)]
-    more = _below(F.col(h), digits) | F.coalesce(F.col(h) == F.col(times)["closing"], F.lit(False))
+    more = _below(F.col(h), digits) | F.array_contains(F.col(times)["closing"], F.col(h))
     n = (F.col(times)["whole"] + more.cast("long")).cast("int")
     return rows.withColumn(times, F.explode(F.array_repeat(F.lit(1), n))).select(*kept)
