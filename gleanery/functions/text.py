@@ -48,8 +48,10 @@ def normalize(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct unpadded character trigrams of a normalised text."""
-    n = F.length(text) - 2
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    n, c = F.greatest(F.length(text) - 2, F.lit(1)), F.split(text, "")  # the characters, so that no place is searched from the start
+    join = lambda a, b: F.concat(a, b)
+    grams = F.zip_with(F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), join), F.slice(c, 3, n), join)
+    return F.when(F.length(text) > 2, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

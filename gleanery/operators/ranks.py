@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.stage import stored
+
 #: The constant of reciprocal rank fusion, and buckets that a global order is dealt to.
 RRF_K, BUCKETS = 60, 64
 
@@ -39,9 +41,11 @@ def starts(df: DataFrame, score: str) -> DataFrame:
 
 def mean_ranks(df: DataFrame, score: str, rank: str, available: Column | None = None) -> DataFrame:
     """``df`` with the mean rank of a score: 1 is best, ties share their mean place, rows without the
-    signal share the mean of the tail. ``rank`` is a double; ``<rank>_available`` says which kind it is."""
+    signal share the mean of the tail. ``rank`` is a double; ``<rank>_available`` says which kind it is.
+
+    The scores are stored once, as four jobs read them."""
     known = F.col(score).isNotNull() if available is None else available
-    kept = df.withColumn("_score", F.when(known, F.col(score)))
+    kept = stored(df.withColumn("_score", F.when(known, F.col(score))), "scores")
     sizes = kept.agg(F.count("_score").alias("have"), F.count(F.lit(1)).alias("all")).first()
     tail = (sizes["have"] + sizes["all"] - 1) / 2 + 1
     places = starts(kept, "_score").withColumnRenamed("_score", "_s")
@@ -60,6 +64,7 @@ def rrf(ranks: Sequence[str], k: int = RRF_K, weights: Sequence[float] | None =
 
 def positions(df: DataFrame, score: str, tie: str, position: str = "position") -> DataFrame:
     """``df`` with places 1..n by score descending, then ``tie``."""
+    df = stored(df, "positions")
     places = starts(df, score).withColumnRenamed(score, "_s")
     inside = Window.partitionBy(score).orderBy(tie)
     return df.join(places, df[score] == places["_s"]).withColumn(position, F.col("above") + F.row_number().over(inside)).drop("_s", "above", "ties")
