@@ -11,7 +11,6 @@ from gleanery.plans.text_scalars import grams_sql, norm_sql
 from gleanery.registry import query
 from gleanery.sources.tables import POOL_SQL, pool, read, tokens_sql
 
-ONE = F.lit(1)
 
 
 @query(
@@ -88,7 +87,7 @@ def d6_title_trigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     t = pool(spark, sf_dir).select("id", T.normalize(F.col("title")).alias("t")).filter(F.length("t") >= 12)
     g = t.select("id", T.trigrams(F.col("t")).alias("g"))
-    df = g.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(ONE).alias("df"))
+    df = g.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     ordered = g.select("id", F.size("g").alias("n"), F.explode("g").alias("gram")).join(df, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
     prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 0.6) + 1).cast("int"))).alias("x")).select("id", "n", "x.gram")
     a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "gram"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
@@ -106,7 +105,7 @@ def d6_title_trigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k10_suspected_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of one normalised title, never expanded to pairs."""
     t = pool(spark, sf_dir).select("id", T.normalize(F.col("title")).alias("title")).filter("title <> ''")
-    return t.groupBy("title").agg(F.count(ONE).alias("copies"), F.min("id").alias("first_id")).filter("copies > 1")
+    return t.groupBy("title").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")).filter("copies > 1")
 
 
 @query(
@@ -189,7 +188,7 @@ k(code, outcome, next_step) AS (VALUES ('not_read', 'pending', 'read'), ('agreed
 def n4_reason_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = spark.createDataFrame([("not_read", "pending", "read"), ("agreed", "decided", "none"), ("disagreed", "pending", "ask")], "code string, outcome string, next_step string")
     code = F.when(F.col("run1").isNull(), "not_read").when(F.col("run1") == F.col("run2"), "agreed").otherwise("disagreed")
-    return two_runs(spark, sf_dir).select(code.alias("code")).join(F.broadcast(codes), "code").groupBy("code", "outcome", "next_step").agg(F.count(ONE).alias("n"))
+    return two_runs(spark, sf_dir).select(code.alias("code")).join(F.broadcast(codes), "code").groupBy("code", "outcome", "next_step").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -250,7 +249,7 @@ def o2_prefix_stable_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p1_month_windows", "SELECT strftime(date_trunc('month', ts), '%Y-%m-%d') AS month, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def p1_month_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy(F.date_format(F.date_trunc("month", "ts"), "yyyy-MM-dd").alias("month")).agg(F.count(ONE).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return read(spark, sf_dir, "events").groupBy(F.date_format(F.date_trunc("month", "ts"), "yyyy-MM-dd").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("p2_elapsed_ms", "SELECT user_id, date_diff('millisecond', min(ts), max(ts)) AS elapsed FROM events GROUP BY user_id")
@@ -277,7 +276,7 @@ def q1_json_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q5_group_map", "SELECT p_brand, array_to_string(list_sort(list(p_size || '=' || n)), ',') AS sizes FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand")
 def q5_group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count(ONE).alias("n"))
+    n = read(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
     m = n.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("p_size", "n"))).alias("m"))
     return m.select("p_brand", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string")))), ",").alias("sizes"))
 
@@ -293,7 +292,7 @@ def t1_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = d.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")))
     gold = k.join(read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
     deep = gold.select("lang", "k", F.explode(F.array(*map(F.lit, (10, 20, 50, 100, 200)))).alias("depth"))
-    return deep.groupBy("lang", "depth").agg(F.round(F.count_if(F.col("k") <= F.col("depth")) / F.count(ONE), 6).alias("recall"))
+    return deep.groupBy("lang", "depth").agg(F.round(F.count_if(F.col("k") <= F.col("depth")) / F.count(F.lit(1)), 6).alias("recall"))
 
 
 @query("t2_paired_bootstrap")
@@ -316,10 +315,10 @@ def t3_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     top = d.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))).filter("r <= 20")
     good = F.count_if(F.col("quality") == 1)
-    return top.groupBy("lang").agg(good.alias("good"), F.least(F.lit(20), F.count(ONE)).alias("k"), F.round(good / F.least(F.lit(20), F.count(ONE)), 6).alias("precision"))
+    return top.groupBy("lang").agg(good.alias("good"), F.least(F.lit(20), F.count(F.lit(1))).alias("k"), F.round(good / F.least(F.lit(20), F.count(F.lit(1))), 6).alias("precision"))
 
 
 @query("t4_two_evaluators", "SELECT CASE WHEN quality = 1 - toxic THEN 'agreed' ELSE 'disputed' END AS verdict, count(*) AS n FROM labels GROUP BY ALL")
 def t4_two_evaluators(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.when(F.col("quality") == 1 - F.col("toxic"), "agreed").otherwise("disputed")
-    return read(spark, sf_dir, "labels").groupBy(verdict.alias("verdict")).agg(F.count(ONE).alias("n"))
+    return read(spark, sf_dir, "labels").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))

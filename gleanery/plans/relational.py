@@ -9,7 +9,6 @@ from gleanery.operators import graph
 from gleanery.registry import query
 from gleanery.sources.tables import read
 
-ONE = F.lit(1)
 
 
 def _t(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -28,7 +27,7 @@ def d1_inner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def d2_left_join_child_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = _t(spark, sf_dir, "orders", "customer")
-    facts = o.groupBy("o_custkey").agg(F.count(ONE).alias("n"), F.sum("o_totalprice").alias("total"))
+    facts = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
     return c.join(facts, c["c_custkey"] == facts["o_custkey"], "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"))
 
 
@@ -52,7 +51,7 @@ def d4_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d5_scalar_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlated counts, maxima and lists, decorrelated to one grouped pass and one join."""
     o, c = _t(spark, sf_dir, "orders", "customer")
-    facts = o.groupBy("o_custkey").agg(F.count(ONE).alias("n"), F.max("o_orderkey").alias("last_order"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("states"))
+    facts = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last_order"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("states"))
     return c.join(facts, c["c_custkey"] == facts["o_custkey"], "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), "last_order", "states")
 
 
@@ -117,7 +116,7 @@ def d17_coverage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell of region by brand, filled from the left; both axes are small dimension tables."""
     r, p = _t(spark, sf_dir, "region", "part")
     grid = r.select("r_regionkey").crossJoin(F.broadcast(p.select(F.col("p_brand").alias("brand")).distinct()))
-    n = p.groupBy((F.col("p_size") % 5).alias("r_regionkey"), F.col("p_brand").alias("brand")).agg(F.count(ONE).alias("n"))
+    n = p.groupBy((F.col("p_size") % 5).alias("r_regionkey"), F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(n, ["r_regionkey", "brand"], "left").select("r_regionkey", "brand", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -143,7 +142,7 @@ SELECT provider, count(DISTINCT s.work) AS works, count(DISTINCT CASE WHEN k = 1
 def e2_source_exclusive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works per provider, and works that no other provider found, in one pass over sets."""
     sets = hits(spark, sf_dir).groupBy("work").agg(F.collect_set("provider").alias("p"))
-    return sets.select(F.explode("p").alias("provider"), (F.size("p") == 1).alias("alone")).groupBy("provider").agg(F.count(ONE).alias("works"), F.count_if("alone").alias("only_here"))
+    return sets.select(F.explode("p").alias("provider"), (F.size("p") == 1).alias("alone")).groupBy("provider").agg(F.count(F.lit(1)).alias("works"), F.count_if("alone").alias("only_here"))
 
 
 @query(
@@ -154,13 +153,13 @@ SELECT arm, count(*) AS works, count(*) FILTER (work % 7 = 0) AS included, count
 def e3_arm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = hits(spark, sf_dir).groupBy("work").agg(F.collect_set("provider").alias("p"))
     arms = sets.select("work", F.size("p").alias("k"), F.explode("p").alias("arm"))
-    return arms.groupBy("arm").agg(F.count(ONE).alias("works"), F.count_if(F.col("work") % 7 == 0).alias("included"), F.count_if(F.col("k") == 1).alias("exclusive"))
+    return arms.groupBy("arm").agg(F.count(F.lit(1)).alias("works"), F.count_if(F.col("work") % 7 == 0).alias("included"), F.count_if(F.col("k") == 1).alias("exclusive"))
 
 
 @query("e4_new_per_step", f"WITH {SOURCES}, f AS (SELECT work, min(provider) AS first_step FROM s GROUP BY work) SELECT first_step, count(*) AS new_works FROM f GROUP BY first_step")
 def e4_new_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works that each step of the run order was the first to bring."""
-    return hits(spark, sf_dir).groupBy("work").agg(F.min("provider").alias("first_step")).groupBy("first_step").agg(F.count(ONE).alias("new_works"))
+    return hits(spark, sf_dir).groupBy("work").agg(F.min("provider").alias("first_step")).groupBy("first_step").agg(F.count(F.lit(1)).alias("new_works"))
 
 
 @query("e5_distinct_remapped", "SELECT o_custkey, count(DISTINCT CASE WHEN o_orderpriority LIKE '1-%' THEN '2-HIGH' ELSE o_orderpriority END) AS kinds FROM orders GROUP BY o_custkey")
@@ -180,7 +179,7 @@ BUCKET_SQL = "CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_totalprice > 150000
 @query("e6_work_buckets", f"SELECT b AS bucket, count(*) AS n FROM (SELECT {BUCKET_SQL} AS b FROM orders) GROUP BY ROLLUP (b)")
 def e6_work_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every work in one bucket, with the total that they add up to (bucket is null)."""
-    return read(spark, sf_dir, "orders").select(bucket().alias("bucket")).rollup("bucket").agg(F.count(ONE).alias("n"))
+    return read(spark, sf_dir, "orders").select(bucket().alias("bucket")).rollup("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -192,7 +191,7 @@ def e6_work_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e7_flow_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").withColumn("b", bucket())
     included = F.col("b") == "included"
-    row = o.agg(F.count(ONE).alias("identified"), F.count_if(F.col("b") != "not_screened").alias("screened"), F.count_if(F.col("b") == "excluded").alias("excluded"), F.count_if(included).alias("included"), F.count_distinct(F.when(included, F.col("o_custkey"))).alias("reports"))
+    row = o.agg(F.count(F.lit(1)).alias("identified"), F.count_if(F.col("b") != "not_screened").alias("screened"), F.count_if(F.col("b") == "excluded").alias("excluded"), F.count_if(included).alias("included"), F.count_distinct(F.when(included, F.col("o_custkey"))).alias("reports"))
     return row.unpivot([], row.columns, "box", "n")
 
 
@@ -228,14 +227,14 @@ def e9_spend_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e11_calls_per_type_share", "SELECT event_type, count(*) AS calls, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY event_type")
 def e11_calls_per_type_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(ONE).alias("calls"))
+    g = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"))
     total = F.sum("calls").over(Window.partitionBy(F.lit(0)))  # a row a type
     return g.select("event_type", "calls", F.round(F.col("calls") / total, 6).alias("share"))
 
 
 @query("e13_status_histogram", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def e13_status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(ONE).alias("n"), F.count_distinct("o_custkey").alias("customers"))
+    return read(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"))
 
 
 @query("e14_ordered_text", "SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 40), ' / ' ORDER BY turn) AS talk FROM conversations GROUP BY conv_id")
@@ -260,7 +259,7 @@ FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
 def e17_library_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = _t(spark, sf_dir, "orders", "customer")
     g = c.join(o, c["c_custkey"] == o["o_custkey"]).groupBy("c_custkey")
-    return g.agg(F.count(ONE).alias("versions"), F.count_distinct("o_orderstatus").alias("states"), F.max_by("o_orderkey", "o_totalprice").alias("representative"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("newest"))
+    return g.agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("o_orderstatus").alias("states"), F.max_by("o_orderkey", "o_totalprice").alias("representative"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("newest"))
 
 
 @query(
@@ -268,13 +267,13 @@ def e17_library_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT p_brand, count(*) AS cells FROM part GROUP BY p_brand HAVING count(*) >= 3 AND bool_and(p_size > 1)",
 )
 def e22_corpus_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(ONE).alias("cells"), F.bool_and(F.col("p_size") > 1).alias("none"))
+    g = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("cells"), F.bool_and(F.col("p_size") > 1).alias("none"))
     return g.filter("cells >= 3 and none").select("p_brand", "cells")
 
 
 @query("e23_field_shares", "SELECT source, lang, n, round(n / sum(n) OVER (PARTITION BY source), 6) AS share, n / sum(n) OVER (PARTITION BY source) >= 0.25 AS routed FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)")
 def e23_field_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(ONE).alias("n"))
+    g = read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("source"))
     return g.select("source", "lang", "n", F.round(share, 6).alias("share"), (share >= 0.25).alias("routed"))
 
@@ -282,7 +281,7 @@ def e23_field_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e24_latency_summary", "SELECT event_type, round(median(value), 6) AS med, max(value) AS worst, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY event_type")
 def e24_latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = read(spark, sf_dir, "events").groupBy("event_type")
-    return g.agg(F.round(F.percentile("value", 0.5), 6).alias("med"), F.max("value").alias("worst"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.count(ONE).alias("n"))
+    return g.agg(F.round(F.percentile("value", 0.5), 6).alias("med"), F.max("value").alias("worst"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -363,7 +362,7 @@ def h6_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = o.filter("k % 5 <> 0"), o.filter("k % 3 <> 0").withColumn("v", F.when(F.col("k") % 7 == 0, F.col("v") + 1).otherwise(F.col("v")))
     a, b = a.select("k", F.col("v").alias("x"), F.lit(True).alias("old")), b.select("k", F.col("v").alias("y"), F.lit(True).alias("new"))
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("x").eqNullSafe(F.col("y")), "changed").otherwise("same")
-    return a.join(b, "k", "full").groupBy(kind.alias("kind")).agg(F.count(ONE).alias("n"))
+    return a.join(b, "k", "full").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 EDGES = "e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem)"
@@ -411,6 +410,6 @@ def i6_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("i7_in_corpus_citations", f"WITH {EDGES} SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN NULL ELSE coalesce(n, 0) END AS cited FROM part LEFT JOIN (SELECT dst, count(*) AS n FROM e GROUP BY dst) ON dst = p_partkey")
 def i7_in_corpus_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations inside the corpus; unknown, not zero, where the list was never resolved."""
-    n = edges(spark, sf_dir).groupBy("dst").agg(F.count(ONE).alias("n"))
+    n = edges(spark, sf_dir).groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
     p = read(spark, sf_dir, "part")
     return p.join(n, p["p_partkey"] == n["dst"], "left").select("p_partkey", F.when(F.col("p_size") % 10 != 0, F.coalesce("n", F.lit(0))).alias("cited"))
