@@ -16,11 +16,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give tasks for fewer than half of them; larger inputs stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record pool: id, title (first words), abstract (the rest; null in short texts), provider, lang."""
     w = T.chunks(F.col("text"))
     rest = F.array_join(F.slice(w, TITLE_WORDS + 1, F.greatest(F.size(w), F.lit(1))), " ")
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", "source", "lang")).select(
         F.col("doc_id").alias("id"),
         F.array_join(F.slice(w, 1, TITLE_WORDS), " ").alias("title"),
         F.when(F.col("n_chars") >= ABSTRACT_CHARS, rest).alias("abstract"),
