@@ -5,16 +5,17 @@ interchangeable, so they are aggregated first. The flow network has an arc from
 of its sources. A pattern supplies its size up to ``copies`` times, at a cost that grows with every
 repetition (convex), and each source draws its target. The solved flow says how many words of each
 pattern are taken; whole copies go to every document of the pattern and the rest to documents in the
-order of a seeded hash, up to a threshold that bucketed sums find without sorting a source. A few more
-documents close the gap: of the next ``CLOSERS`` of every size class the largest that still fit, and
-then the one, if any, that brings the sum nearer to the target; or that one alone where it comes nearer.
+order of a seeded hash: each that still fits is taken, one that does not is passed over. Bucketed sums
+find the first that does not fit without sorting a source; the pass is repeated behind it, over the
+documents that fit the gap it leaves, until none fits. At last one document closes the gap, if any
+brings the sum nearer to the target: after the last pass, or after an earlier one where that comes nearer.
 
 Targets: sources in code-point order, null last, weigh ``weights`` in turn and share ``factor`` times
 all sizes; a target stops at ``copies`` times its source's size and the excess is shared again by
 weight among the others.
 
 Bounds: the driver holds one row per membership pattern (``max_patterns``, refused beyond) and one
-histogram of 4,096 sums per source and level.
+histogram of 4,096 sums per source and level; passes go with the logarithm of the gap.
 
 Defined results: a null text has size 0 and takes 0; null is a source of its own; repeated rows share
 their fate; an empty table gives an empty result; other columns are ignored by ``mix`` and kept by
@@ -26,8 +27,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import free_name, materialize
@@ -35,8 +35,8 @@ from ._common import free_name, materialize
 WORD = r"[^\x20\x09-\x0D]+"
 BITS = 12
 LEVELS = 5
-#: Documents of each pattern and size class (a factor of 2) that may close its gap.
-CLOSERS = 8
+#: Turns a hash so that signed numbers compare as unsigned hashes do.
+TURN = -(1 << 63)
 
 
 def targets_of(sizes: dict, weights: Sequence[int] = (3, 1, 2), factor: float = 1.5, copies: int = 2) -> dict:
@@ -119,41 +119,59 @@ def thresholds(rows: DataFrame, quota: dict[int, int]) -> dict[int, tuple[list[i
     """For each pattern, the digits of the hash below which documents are taken, and the words so taken.
 
     ``rows``: pattern, h, size. Each level sums one digit of the hash within the bucket that the level
-    before left open; digits are compared from the left, so documents are taken in hash order.
+    before left open, until that holds a single hash; digits are compared from the left, so documents are
+    taken in hash order.
     """
     spark = rows.sparkSession
-    state = {p: ([], 0) for p in quota}
+    every = [1 << BITS] * LEVELS + [1 << (64 - BITS * LEVELS)]
+    state, done = {p: ([], 0) for p in quota}, {}
     for level in range(LEVELS + 1):
+        if not state:
+            break
         if level == 0:
             part = rows
         else:
             prefix = spark.createDataFrame([(p, *digits) for p, (digits, _) in state.items()], "pattern long, " + ", ".join(f"d{i} long" for i in range(level)))
             on = [rows["pattern"] == prefix["pattern"], *(_slot(rows["h"], i) == prefix[f"d{i}"] for i in range(level))]
             part = rows.join(F.broadcast(prefix), on, "left_semi")
-        sums: dict[int, list[tuple[int, int]]] = {}
-        for r in part.groupBy("pattern", _slot(F.col("h"), level).alias("slot")).agg(F.sum("size").alias("size")).collect():
-            sums.setdefault(r["pattern"], []).append((r["slot"], r["size"]))
+        sums: dict[int, list[tuple[int, int, int, int]]] = {}
+        for r in part.groupBy("pattern", _slot(F.col("h"), level).alias("slot")).agg(F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high")).collect():
+            sums.setdefault(r["pattern"], []).append((r["slot"], r["size"], r["low"], r["high"]))
+        open_ = {}
         for p, (digits, taken) in state.items():
-            stop = (1 << BITS) if level < LEVELS else 1 << (64 - BITS * LEVELS)
-            for slot, size in sorted(sums.get(p, [])):
+            for slot, size, low, high in sorted(sums.get(p, [])):
                 if taken + size > quota[p]:
-                    stop = slot
+                    if low == high:
+                        done[p] = (_digits(low), taken)
+                    else:
+                        open_[p] = ([*digits, slot], taken)
                     break
                 taken += size
-            state[p] = ([*digits, stop], taken)
-    return state
+            else:
+                done[p] = (every, taken)
+        state = open_
+    return done
+
+
+def _digits(h: int) -> list[int]:
+    return [(h >> (64 - BITS * (k + 1))) & ((1 << BITS) - 1) for k in range(LEVELS)] + [h & ((1 << (64 - BITS * LEVELS)) - 1)]
+
 
+def _turned(digits: list[int]) -> int | None:
+    """The hash of the digits, turned; none for digits beyond all hashes."""
+    if digits[0] >> BITS:
+        return None
+    h = 0
+    for d in digits[:LEVELS]:
+        h = h << BITS | d
+    return (h << (64 - BITS * LEVELS) | digits[LEVELS]) + TURN
 
-def _below(h: Column, digits: Sequence[Column]) -> Column:
-    """Whether a hash comes before the digits, compared from the left."""
-    out = F.lit(False)
-    for level in reversed(range(len(digits))):
-        out = (_slot(h, level) < digits[level]) | ((_slot(h, level) == digits[level]) & out)
-    return out
+
+PASSES = "array<struct<after:long,before:long,least:long,most:long>>"
 
 
 def plan_mix(rows: DataFrame, members: dict[int, tuple], weights: Sequence[int] = (3, 1, 2), factor: float = 1.5, copies: int = 2) -> tuple[DataFrame, dict, dict]:
-    """The plan by pattern (whole copies, threshold digits, the closing hashes), targets and sizes by source.
+    """The plan by pattern (whole copies, passes, the closing hash), targets and sizes by source.
 
     ``rows``: pattern, h, size; ``members``: the sources of each pattern.
     """
@@ -167,42 +185,61 @@ def plan_mix(rows: DataFrame, members: dict[int, tuple], weights: Sequence[int]
     order = sorted(size)
     took = dict(zip(order, route([(members[p], size[p]) for p in order], targets, copies)))
     whole = {p: min(copies, took[p] // size[p]) if size[p] else 0 for p in order}
-    quota = {p: rest if whole[p] < copies and (rest := took[p] - whole[p] * size[p]) else -1 for p in order}
-    cut = thresholds(rows, quota)
-    columns = ", ".join(f"d{i} long" for i in range(LEVELS + 1))
-    plan = spark.createDataFrame([(p, whole[p], quota[p] - cut[p][1], *cut[p][0]) for p in order], f"pattern long, whole long, missing long, {columns}")
-    open_ = rows.filter(F.col("size") > 0).join(F.broadcast(plan), "pattern").filter((F.col("whole") < copies) & (F.col("size") < 2 * F.col("missing")))
-    open_ = open_.filter(~_below(F.col("h"), [F.col(f"d{i}") for i in range(LEVELS + 1)])).withColumn("class", F.floor(F.log2("size")))
-    next_ = open_.withColumn("place", F.rank().over(Window.partitionBy("pattern", "class").orderBy("h"))).filter(F.col("place") <= CLOSERS)
-    closers = next_.groupBy("pattern", "h").agg(F.sum("size").alias("size"), F.first("missing").alias("missing"))
-    closing = closers.groupBy("pattern").applyInPandas(_close, "pattern long, closing array<long>")
-    last = {r["pattern"]: r["closing"] for r in closing.collect()}
-    plan = spark.createDataFrame([(p, whole[p], last.get(p, []), *cut[p][0]) for p in order], f"pattern long, whole long, closing array<long>, {columns}")
-    return plan, targets, sizes
-
-
-def _close(candidates: pd.DataFrame) -> pd.DataFrame:
-    """The hashes that close the gap of one pattern; at most ``CLOSERS`` candidates a size class."""
-    missing = int(candidates["missing"].iloc[0])
-    free = sorted(zip(candidates["size"].tolist(), candidates["h"].tolist()), reverse=True)
-    best: tuple[int, list[int]] = (missing, [])
-    for fit_first in (True, False):
-        left, picked = missing, []
-        for size, h in free if fit_first else ():
-            if size <= left:
-                picked.append(h)
-                left -= size
-        rest = [c for c in free if c[1] not in picked]
-        if rest and abs(left - (last := min(rest, key=lambda c: (abs(left - c[0]), c[1])))[0]) < left:
-            picked.append(last[1])
-            left -= last[0]
-        best = min(best, (abs(left), picked), key=lambda b: (b[0], len(b[1])))
-    return pd.DataFrame({"pattern": [candidates["pattern"].iloc[0]], "closing": [best[1]]})
-
-
-def _taken(h: Column) -> Column:
-    more = _below(h, [F.col(f"d{i}") for i in range(LEVELS + 1)]) | F.array_contains("closing", h)
-    return (F.col("whole") + more.cast("long")).cast("long")
+    missing = {p: rest for p in order if whole[p] < copies and (rest := took[p] - whole[p] * size[p]) > 0}
+    passes: dict[int, list[tuple]] = {p: [] for p in order}
+    best: dict[int, tuple] = {}  # by pattern: words off the target, minus the passes, the closing hash
+    going = dict(missing)
+    while going:
+        if any(passes[p] for p in going):
+            at = spark.createDataFrame([(p, passes[p][-1][1], n) for p, n in going.items()], "pattern long, after long, most long")
+            free = rows.join(F.broadcast(at), "pattern").filter((_key(F.col("h")) > F.col("after")) & F.col("size").between(1, F.col("most"))).select("pattern", "h", "size")
+        else:
+            free = rows
+        for p, (digits, taken) in thresholds(free, going).items():
+            after = passes[p][-1][1] if passes[p] else None
+            passes[p].append((after, _turned(digits), 1 if passes[p] else 0, missing[p] if passes[p] else None))
+            missing[p] -= taken
+        for p, n, h in _nearest(rows, passes, {p: missing[p] for p in going if missing[p]}):
+            best[p] = min(best.get(p, (n, 0, None)), (n, -len(passes[p]), h), key=lambda b: b[:2])
+        going = {p: missing[p] for p in going if missing[p] and passes[p][-1][1] is not None}
+    plan = []
+    for p in order:
+        if p in best and best[p][0] < missing[p]:
+            plan.append((p, whole[p], passes[p][: -best[p][1]], best[p][2]))
+        else:
+            plan.append((p, whole[p], passes[p], None))
+    return spark.createDataFrame(plan, f"pattern long, whole long, passes {PASSES}, closing long"), targets, sizes
+
+
+def _nearest(rows: DataFrame, passes: dict[int, list[tuple]], missing: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(pattern, words off the target, hash) of the one document that, taken besides, comes nearest to the target."""
+    if not missing:
+        return []
+    plan = rows.sparkSession.createDataFrame([(p, n, passes[p]) for p, n in missing.items()], f"pattern long, missing long, passes {PASSES}")
+    free = rows.filter("size > 0").join(F.broadcast(plan), "pattern").filter((F.col("size") < 2 * F.col("missing")) & ~_passed(F.col("passes"), F.col("h"), F.col("size")))
+    alike = free.groupBy("pattern", "h").agg((F.sum("size") - F.first("missing")).alias("over"), F.first("missing").alias("missing"))
+    near = alike.filter(F.abs("over") < F.col("missing")).groupBy("pattern").agg(F.min(F.struct(F.abs("over").alias("off"), "h")).alias("x"))
+    return [(r["pattern"], r["off"], r["h"]) for r in near.select("pattern", "x.off", "x.h").collect()]
+
+
+def _key(h: Column) -> Column:
+    return h.bitwiseXOR(F.lit(TURN))
+
+
+def _passed(passes: Column, h: Column, size: Column) -> Column:
+    """Whether some pass takes a document: between its ends, and of a size that it looks at."""
+    return F.exists(
+        passes,
+        lambda p: (p["after"].isNull() | (_key(h) > p["after"]))
+        & (p["before"].isNull() | (_key(h) < p["before"]))
+        & (size >= p["least"])
+        & (p["most"].isNull() | (size <= p["most"])),
+    )
+
+
+def _taken(h: Column, size: Column, plan=F.col) -> Column:
+    more = _passed(plan("passes"), h, size) | F.coalesce(plan("closing") == h, F.lit(False))
+    return (plan("whole") + more.cast("long")).cast("long")
 
 
 def _source_ids(docs: DataFrame, source_col: str, max_patterns: int) -> tuple[DataFrame, dict[int, tuple]]:
@@ -224,7 +261,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return (
         rows.join(F.broadcast(plan), "pattern")
         .join(F.broadcast(facts), "pattern")
-        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _taken(F.col("h")).alias("times"))
+        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _taken(F.col("h"), F.col("size")).alias("times"))
         .withColumn("taken", F.col("size") * F.col("times"))
     )
 
@@ -253,12 +290,10 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     _, plan, _ = _mix(docs, id_col, text_col, source_col, seed, weights, factor, copies, max_patterns)
     ids, _ = _source_ids(docs, source_col, max_patterns)
     kept = docs.columns
-    h, times, source = (free_name(kept, x) for x in ("g_hash", "g_times", "g_source"))
+    h, size, times, source = (free_name(kept, x) for x in ("g_hash", "g_size", "g_times", "g_source"))
     plan = ids.withColumnRenamed("source", source).join(plan, "pattern")
     taken = [c for c in plan.columns if c != source]
     plan = plan.select(F.col(source), F.struct(*taken).alias(times))
-    rows = docs.withColumn(h, _hash(seed, id_col, text_col)).join(F.broadcast(plan), F.col(source_col).eqNullSafe(F.col(source)))
-    digits = [F.col(times)[f"d{i}"] for i in range(LEVELS + 1)]
-    more = _below(F.col(h), digits) | F.array_contains(F.col(times)["closing"], F.col(h))
-    n = (F.col(times)["whole"] + more.cast("long")).cast("int")
+    rows = docs.withColumns({h: _hash(seed, id_col, text_col), size: _size(F.col(text_col))}).join(F.broadcast(plan), F.col(source_col).eqNullSafe(F.col(source)))
+    n = _taken(F.col(h), F.col(size), lambda c: F.col(times)[c]).cast("int")
     return rows.withColumn(times, F.explode(F.array_repeat(F.lit(1), n))).select(*kept)

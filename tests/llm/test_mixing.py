@@ -69,3 +69,29 @@ def test_empty_table_and_null_texts(spark):
     assert {r["taken"] for r in rows_of(mixing.mix(docs_of(spark, [None, ""])))} == {0}
     twice = docs_of(spark, ["a b"] * 3).union(docs_of(spark, ["a b"] * 3))
     assert len(rows_of(mixing.mix(twice))) == 6
+
+
+def test_a_giant_text_does_not_end_its_source(spark):
+    texts = ["w " * 100] * 500 + ["w " * 20_000]
+    for seed in range(6):  # the giant is drawn early, in the middle and late
+        found = rows_of(mixing.mix(docs_of(spark, texts), seed=seed))
+        assert abs(sum(r["taken"] for r in found) - 105_000) <= 50, seed
+
+
+def test_documents_are_taken_in_hash_order_while_they_fit(spark):
+    rng = random.Random(4)
+    rows = [(0, h, rng.choice([1, 7, 60, 900, 15_000])) for h in (rng.getrandbits(64) - (1 << 63) for _ in range(400))]
+    rows += [rows[5]] * 3  # repeated rows share their fate
+    df = spark.createDataFrame(rows, "pattern long, h long, size long")
+    plan, targets, _ = mixing.plan_mix(df, {0: ("a",)})
+    left, groups, want = round(targets["a"]) - sum(r[2] for r in rows), {}, set()
+    for _, h, size in rows:
+        groups[h] = groups.get(h, 0) + size
+    for h in sorted(groups, key=lambda h: h % (1 << 64)):
+        if groups[h] <= left:
+            want.add(h)
+            left -= groups[h]
+    found = df.join(plan, "pattern").withColumn("times", mixing._taken(df["h"], df["size"])).collect()
+    took = {r["h"] for r in found if r["times"] == 2}
+    assert abs(round(targets["a"]) - sum(r["size"] * r["times"] for r in found)) <= left  # the closing document never makes it worse
+    assert took == want or left > 0
