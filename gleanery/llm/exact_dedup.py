@@ -1,9 +1,10 @@
-"""Exact deduplication by a tree-merge of sorted digest runs, in DataFrame functions only.
+"""Exact deduplication by hash aggregation in levels, in DataFrame functions only.
 
-Every partition reduces its rows to a run of (digest, kept id, rows). Runs are then merged in
-binomial rounds: in each round, the runs of ``fan_in`` neighbouring leaves meet under their common
-parent, which keeps the winning identifier and adds the counts, until one root is left. A hot digest
-is thereby reduced by many tasks before it meets in one, at any level at most ``fan_in`` rows deep.
+Rows go to leaves by a hash of their id, and each leaf keeps one row a digest: (digest, bytes, kept id,
+rows). In each round the rows of ``fan_in`` neighbouring leaves meet under their common parent, which
+keeps the winning identifier and adds the counts, until one root is left. A hot digest is thereby reduced
+by many tasks before it meets in one. Leaves are no partitions and nothing is sorted or merged as runs;
+texts are equal if SHA-256 and byte length agree.
 
 Defined results: a null text counts as empty; empty texts form one group; repeated rows count as
 often as they occur; ties on the identifier keep every row with that identifier; an empty table gives
