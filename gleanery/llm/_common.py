@@ -45,6 +45,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    files = stored.inputFiles()
+    if files:
+        jvm, conf = stored.sparkSession._jvm, stored.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, with underscores added until no column has that name (case-insensitively)."""
     low = {c.lower() for c in taken}
