@@ -1,14 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the lower-cased words of a text and their first three to six letters, hashed to 32 bits;
-presence counts, not frequency. Training takes at most ``max_rows`` labelled rows (a documented bound;
-the rows of smallest hash), keeps the terms that differ most between the labels, and fits bias, weights
-and pairwise factors with Adam on the driver. The fitted model has at most ``KEPT`` terms and is
-broadcast; scoring reads whole texts.
+Terms are the lower-cased words of a text and their first three to six letters, hashed to ``SLOTS``
+slots; presence counts, not frequency. Every term has a weight and factors: none is chosen beforehand.
+Training takes at most ``max_rows`` labelled rows (a documented bound; the rows of smallest hash). It first
+fits bias and weights by accelerated proximal steps, each weight under an L1 penalty in proportion to the
+noise of its term's gradient, so that frequent and rare terms are judged alike; then factors by stochastic
+steps and weights by further proximal ones, in turns. A pair's product is divided by the number of terms,
+which keeps long texts from summing the chance products of many pairs. The model has SLOTS * (FACTORS + 1)
+numbers whatever the input and is broadcast; scoring reads whole texts, a batch at a time.
 
 Only the text makes a score. Defined results: a null or empty text scores as one without terms; rows
-whose label is null are not learned from; repeated label rows count once, toxic if any says so; without
-any label of both kinds the score is 0 for all; repeated rows each get their own row; other columns are
+whose label is null are not learned from; repeated label rows count once, toxic if any says so, and
+so do the terms of rows that share an id; without any label of both kinds the score is 0 for all; repeated rows each get their own row; other columns are
 ignored by ``score`` and kept by ``drop_toxic``.
 """
 
@@ -25,8 +28,16 @@ from pyspark.sql import functions as F
 
 from ._common import free_name, materialize, tune
 
-#: Labelled rows that are learned from at most; terms kept at most; factors a term.
-MAX_ROWS, KEPT, FACTORS = 12_000, 2048, 8
+#: Labelled rows that are learned from at most; slots of terms; factors a term.
+MAX_ROWS, SLOTS, FACTORS = 12_000, 1 << 18, 8
+#: Strength of the penalty in units of a gradient's noise, and proximal steps.
+PENALTY, STEPS = 0.5, 30
+#: Turns of factors and weights; stochastic steps of a turn, rows in each, their rate; proximal steps of a turn.
+TURNS, PAIR_STEPS, BATCH, RATE, MORE_STEPS = 6, 60, 256, 0.05, 3
+#: Products are small beside weights, so factors take longer steps.
+SCALE = 80.0
+#: Decay of factors: pairs whose joint effect is weaker than this do not grow.
+SHRINK = 2e-3
 PREFIXES = (3, 4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -53,68 +64,101 @@ def term_ids(text: str | None) -> np.ndarray:
     return np.unique(np.array([i for w in words for i in _ids[w]], np.uint32))
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class FactorizationMachine:
-    """Logit = bias + weights of present terms + inner products of their factors, pair by pair."""
+    """Logit = bias + weights of present terms + inner products of their factors, pair by pair, over the
+    number of terms."""
 
-    def __init__(self, terms: np.ndarray, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        self.terms = terms
-        self.p = {"b": np.zeros(1), "w": np.zeros(len(terms)), "V": rng.normal(size=(len(terms), FACTORS)) * 0.02}
+    def __init__(self, terms: np.ndarray | int = SLOTS, seed: int = 3):
+        self.slots = terms if isinstance(terms, int) else len(terms)
+        self.seed = seed
+        self.p = {"b": np.zeros(1), "w": np.zeros(self.slots), "V": np.zeros((self.slots, FACTORS), np.float32)}
 
     def locate(self, ids: np.ndarray) -> np.ndarray:
-        """Positions of those ids that are kept terms."""
-        if not len(self.terms) or not len(ids):
-            return np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.terms, ids), len(self.terms) - 1)
-        return at[self.terms[at] == ids]
+        """The slots of term hashes."""
+        return np.unique(ids.astype(np.int64) % self.slots) if self.slots else np.empty(0, np.int64)
+
+    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The logit of each row of slots."""
+        out = np.full(len(rows), self.p["b"][0])
+        some = [i for i, r in enumerate(rows) if len(r)]
+        if some:
+            at, n = np.concatenate([rows[i] for i in some]), np.array([len(rows[i]) for i in some])
+            cut = np.cumsum(n) - n
+            out[some] += np.add.reduceat(self.p["w"][at], cut) + self._pairs(self.p["V"][at], cut, n)[0]
+        return out
+
+    @staticmethod
+    def _pairs(v: np.ndarray, cut: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pair term of each row, and the sum of its factors."""
+        s = np.add.reduceat(v, cut)
+        return 0.5 * ((s * s).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), cut)) / n, s
 
     def logit(self, at: np.ndarray) -> float:
-        v = self.p["V"][at]
-        s = v.sum(axis=0)
-        return float(self.p["b"][0] + self.p["w"][at].sum() + 0.5 * (s @ s - (v * v).sum()))
+        return float(self.logits([at])[0])
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return _sigmoid(self.logits([self.locate(term_ids(t)) for t in texts]))
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(self.locate(term_ids(text))), -30, 30))))
-
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.03, l1: float = 2e-4, l2: float = 1e-3, seed: int = 3) -> None:
-        rng = np.random.default_rng(seed)
-        p, first, second, step = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        p["b"][0] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
-        for epoch in range(epochs):
-            order = rng.permutation(len(rows))
-            for k in range(0, len(order), batch):
-                pick = order[k : k + batch]
-                x = np.zeros((len(pick), len(self.terms)))
-                for i, r in enumerate(pick):
-                    x[i, rows[r]] = 1
-                s = x @ p["V"]
-                logit = p["b"][0] + x @ p["w"] + 0.5 * ((s * s).sum(axis=1) - x @ (p["V"] ** 2).sum(axis=1))
-                d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[pick]) / len(pick)
-                xd = x.T @ d
-                grad = {"b": np.array([d.sum()]), "w": xd, "V": x.T @ (s * d[:, None]) - p["V"] * xd[:, None] + l2 * p["V"]}
-                step += 1
-                lr = rate * 0.85**epoch
-                for name, g in grad.items():
-                    first[name] = 0.9 * first[name] + 0.1 * g
-                    second[name] = 0.999 * second[name] + 0.001 * g * g
-                    p[name] = p[name] - lr * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
-                p["w"] = np.sign(p["w"]) * np.maximum(np.abs(p["w"]) - lr * l1, 0)
-
-
-def choose_terms(rows: DataFrame, kept: int = KEPT, z: float = 4.0) -> np.ndarray:
-    """The terms whose shares differ most between the labels, of those in at least 3 rows and one row in 1,500.
-
-    ``rows``: y, ids. Terms are counted by Spark; the driver gets the ``kept`` best.
-    """
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).first()
-    n, n1 = size["n"], max(size["toxic"] or 0, 1)
-    n0 = max(n - n1, 1)
-    share = F.col("total") / n
-    gap = F.abs(F.col("toxic") / n1 - (F.col("total") - F.col("toxic")) / n0)
-    score = gap / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n0 + 1 / n1))
-    counts = rows.select("y", F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("total"), F.sum("y").alias("toxic"))
-    good = counts.filter(F.col("total") >= max(3, n // 1500)).withColumn("score", score).filter(F.col("score") >= z)
-    return np.sort(np.array([r["id"] for r in good.orderBy(F.desc("score"), "id").limit(kept).collect()], np.int64).astype(np.uint32))
+        return float(self.scores([text])[0])
+
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int | None = None, rate: float = RATE) -> None:
+        """``rows``: distinct slots; ``epochs`` replaces the number of stochastic steps by passes."""
+        rng = np.random.default_rng(self.seed)
+        known = [i for i, r in enumerate(rows) if len(r)]
+        rows, y, mean = [rows[i] for i in known], y[known], y.mean()
+        self.p["b"][0] = np.log((mean + 1e-6) / (1 - mean + 1e-6))
+        if not rows:
+            return
+        n = np.array([len(r) for r in rows])
+        at, cut = np.concatenate(rows), np.cumsum(n) - n
+        share = np.bincount(at, minlength=self.slots) / len(rows)
+        penalty = PENALTY * np.sqrt(share * (1 - share) * mean * (1 - mean) / len(rows)) + 1e-12
+        self._fit_weights(at, n, cut, y, penalty, np.zeros(len(rows)), STEPS)
+        self.p["V"][share > 0] = rng.normal(size=(int((share > 0).sum()), FACTORS)) * 0.1
+        steps = epochs * max(1, len(rows) // BATCH) // TURNS + 1 if epochs else PAIR_STEPS
+        for turn in range(TURNS):
+            self._fit_pairs(at, n, cut, y, steps, rate, rng)
+            spans = np.arange(0, len(n), 1024)
+            pairs = [self._pairs(self.p["V"][at[cut[i] : cut[i] + n[i : i + 1024].sum()]], cut[i : i + 1024] - cut[i], n[i : i + 1024])[0] for i in spans]
+            self._fit_weights(at, n, cut, y, penalty, np.concatenate(pairs), MORE_STEPS)
+
+    def _fit_weights(self, at: np.ndarray, n: np.ndarray, cut: np.ndarray, y: np.ndarray, penalty: np.ndarray, pairs: np.ndarray, steps: int) -> None:
+        """Accelerated proximal steps on bias and weights beside the given pair terms."""
+        row = np.repeat(np.arange(len(n)), n)
+        curve = np.maximum(np.bincount(at, np.repeat(np.sqrt(n), n), self.slots) / len(n) / 4, 1e-9)
+        w, ahead, pace, b = self.p["w"], self.p["w"].copy(), 1.0, self.p["b"]
+        for _ in range(steps):
+            d = (_sigmoid(b[0] + np.add.reduceat(ahead[at], cut) + pairs) - y) / len(n)
+            fresh = ahead - np.bincount(at, d[row], self.slots) / curve
+            fresh = np.sign(fresh) * np.maximum(np.abs(fresh) - penalty / curve, 0)
+            faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+            ahead, w, pace = fresh + (pace - 1) / faster * (fresh - w), fresh, faster
+            b[0] -= 2 * d.sum()
+        self.p["w"] = w
+
+    def _fit_pairs(self, at: np.ndarray, n: np.ndarray, cut: np.ndarray, y: np.ndarray, steps: int, rate: float, rng: np.random.Generator) -> None:
+        """Stochastic gradient steps on the factors."""
+        w, V, b = self.p["w"], self.p["V"], self.p["b"]
+        order = np.empty(0, np.int64)
+        for _ in range(steps):
+            if len(order) < min(BATCH, len(n)):
+                order = rng.permutation(len(n))
+            pick, order = order[:BATCH], order[BATCH:]
+            m = n[pick]
+            seg = np.cumsum(m) - m
+            t = at[np.repeat(cut[pick] - seg, m) + np.arange(m.sum())]
+            v = V[t]
+            pair, s = self._pairs(v, seg, m)
+            d = (_sigmoid(b[0] + np.add.reduceat(w[t], seg) + pair) - y[pick]) / len(pick) / m
+            down = (np.repeat(s, m, axis=0) - v) * np.repeat(d, m).astype(np.float32)[:, None]
+            V *= np.float32(1 - SCALE * rate * SHRINK)
+            for k in range(FACTORS):
+                V[:, k] -= (SCALE * rate * np.bincount(t, down[:, k], self.slots)).astype(np.float32)
 
 
 def held_out(id_: Column) -> Column:
@@ -135,22 +179,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [term_ids(t).astype(np.int64) for t in b.column(2).to_pylist()]
+            ids = [np.unique(term_ids(t).astype(np.int64) % SLOTS) for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["key", "y", "ids"])
 
     picked = docs.select(id_col, F.col(text_col).alias("g_text")).join(F.broadcast(known), id_col)
     kind = dict(docs.dtypes)[id_col]
-    rows = materialize(picked.select(F.col(id_col), "g_label", "g_text").mapInArrow(featurize, f"key {kind}, y int, ids array<long>").dropDuplicates(["key"]), "toxic-terms")
-    model = FactorizationMachine(choose_terms(rows))
-    terms = docs.sparkSession.createDataFrame([(i, int(t)) for i, t in enumerate(model.terms)], "at int, id long")
-    located = rows.select("key", "y", F.explode_outer("ids").alias("id")).join(F.broadcast(terms), "id", "left").groupBy("key", "y").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    found = sorted(located.collect(), key=lambda r: r["key"])  # at most max_rows rows of kept terms
-    y = np.array([r["y"] for r in found], float)
+    terms = picked.select(F.col(id_col), "g_label", "g_text").mapInArrow(featurize, f"key {kind}, y int, ids array<long>")
+    rows = materialize(terms.groupBy("key").agg(F.max("y").alias("y"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids")), "toxic-terms")
+    found = rows.orderBy("key").toPandas()  # at most max_rows rows
+    model, y = FactorizationMachine(), found["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
-        model = FactorizationMachine(np.empty(0, np.uint32))
         model.p["b"][0] = -30.0
         return model
-    model.fit([np.array(r["at"], np.int64) for r in found], y)
+    model.fit([np.asarray(r, np.int64) for r in found["ids"]], y)
     return model
 
 
@@ -160,7 +201,7 @@ def scorer(docs: DataFrame, labels: DataFrame, **options):
 
     @F.pandas_udf("double")
     def score_text(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.value.score(t) for t in texts], dtype=float)
+        return pd.Series(model.value.scores(texts.tolist()), dtype=float)
 
     return score_text
 

@@ -65,3 +65,39 @@ def test_edges(spark):
     kept = rows_of(toxicity.drop_toxic(noisy(docs_of(spark, [*long, "idiot " + "calm " * 20_000, None])), labels_of(spark, labels)))
     ids = {r["doc_id"] for r in kept}
     assert 301 not in ids and 302 in ids and "g_score" not in kept[0] and kept[0]["score"] == "x"
+
+
+def test_a_corpus_labelled_by_exactly_one_of_two_words(spark):
+    """No single term differs between the labels; every term reaches the factors."""
+    rng = random.Random(2)
+    voc = [f"{a}{b}" for a in "bcdfgh" for b in "aeio"]
+    texts, labels = [], []
+    for i in range(3000):
+        words = [w for w in voc[2:] if rng.random() < 0.4] + [w for w in voc[:2] if rng.random() < 0.5]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append((i + 1, int((voc[0] in words) != (voc[1] in words))))
+    found = {r["doc_id"]: r for r in rows_of(toxicity.score(docs_of(spark, texts), labels_of(spark, labels)))}
+    held = [(found[i]["predicted"], y) for i, y in labels if found[i]["held_out"]]
+    assert np.mean([a == b for a, b in held]) >= 0.95
+
+
+def test_scores_equal_every_pair_summed_one_by_one(spark):
+    """Brute force: the fitted model's own numbers, added up term by term and pair by pair."""
+    texts, labels = corpus(300)
+    texts += [None, "", "one", "idiot idiot " * 30]
+    docs = docs_of(spark, texts)
+    model = toxicity.train(docs, labels_of(spark, labels))
+    for r in rows_of(toxicity.score(docs, labels_of(spark, labels))):
+        at = sorted({int(i) % toxicity.SLOTS for i in toxicity.term_ids(texts[r["doc_id"] - 1])})
+        logit = model.p["b"][0] + sum(model.p["w"][i] for i in at)
+        logit += sum(float(model.p["V"][i].astype(float) @ model.p["V"][j]) for k, i in enumerate(at) for j in at[:k]) / max(1, len(at))
+        assert abs(r["score"] - 1 / (1 + np.exp(-logit))) < 1e-4
+
+
+def test_rows_that_share_an_id_are_learned_from_together(spark):
+    texts, labels = corpus(120)
+    docs = docs_of(spark, texts).union(docs_of(spark, texts[60:] + texts[:60]))
+    one = toxicity.train(docs, labels_of(spark, labels)).p
+    two = toxicity.train(docs.repartition(5), labels_of(spark, labels)).p
+    assert all(np.array_equal(one[k], two[k]) for k in one)
