@@ -28,6 +28,9 @@ from ._common import free_name, tune
 #: Windows of a benchmark that may be broadcast: about 100 MB with their words.
 MAX_WINDOWS = 2_000_000
 
+#: Words before lower-casing, for Spark's regular expressions.
+WORDS_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 _MAP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,9 +98,11 @@ class Benchmark:
 def load_benchmark(benchmark: DataFrame, width: int, id_col: str, text_col: str, max_windows: int):
     """The checked broadcast variable."""
     spark = benchmark.sparkSession
-    size = benchmark.select(F.sum(F.length(text_col)).alias("n"), F.count(F.lit(1)).alias("items")).first()
-    if (size["n"] or 0) // 2 + size["items"] > max_windows:
-        raise ValueError(f"the benchmark may have over {max_windows} windows; raise max_windows if executors can hold them")
+    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS_SQL)), F.lit(0))
+    windows = F.when(words > 0, F.greatest(words - width + 1, F.lit(1))).otherwise(0)
+    n = benchmark.agg(F.sum(windows)).first()[0] or 0
+    if n > max_windows:
+        raise ValueError(f"the benchmark has {n} windows, over {max_windows}; raise max_windows if executors can hold them")
     items = [(r[0], r[1]) for r in benchmark.select(id_col, text_col).collect()]
     return spark.sparkContext.broadcast(Benchmark(items, width))
 

@@ -47,14 +47,87 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 _WORDS = re.compile(r"\w+")
+_MARKS, _DIGITS = re.compile(r"[.,;:!?]"), re.compile(r"\d")
 
 
 @dataclass
 class Block:
+    """A leaf block: its text, the tag it is in, the share of linked text; of the path of open tags the
+    sums of hashed tokens, their number, and the innermost (tokens, outer) node."""
+
     text: str
-    path: tuple[str, ...]
     tag: str
     linked: float
+    sums: np.ndarray
+    depth: int
+    node: tuple | None
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The tokens of all open tags, innermost first."""
+        out, node = [], self.node
+        while node is not None:
+            out += node[0]
+            node = node[1]
+        return tuple(out)
+
+
+PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN_DIM = 96, 48, 10, 24
+INPUT = PATH_DIM + WORD_DIM + SHAPE_DIM
+
+
+class _Slots(dict):
+    """The slot of each word."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 300_000:
+            self.clear()
+        at = self[word] = xxhash.xxh32_intdigest(word) % self.size
+        return at
+
+
+_path_slot, _word_slot = _Slots(PATH_DIM), _Slots(WORD_DIM)
+
+
+class _Path:
+    """The open tags of a page: their hashed tokens as a running sum, and how many of each tag are open."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, list[int], tuple | None]] = []
+        self.node: tuple | None = None
+        self.open: dict[str, int] = {}
+        self.blocks: list[str] = []
+        self.sum = np.zeros(PATH_DIM, np.float32)
+        self.depth = 0
+
+    def push(self, tag: str, tokens: tuple[str, ...]) -> None:
+        at = [_path_slot[x] for x in tokens]
+        for k in at:
+            self.sum[k] += 1
+        self.depth += len(at)
+        self.stack.append((tag, at, self.node))
+        self.node = (tokens, self.node)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in BLOCK:
+            self.blocks.append(tag)
+
+    def pop(self) -> None:
+        tag, at, self.node = self.stack.pop()
+        for k in at:
+            self.sum[k] -= 1
+        self.depth -= len(at)
+        self.open[tag] -= 1
+        if tag in BLOCK:
+            self.blocks.pop()
+
+    def has(self, tags: tuple[str, ...]) -> bool:
+        return any(self.open.get(t) for t in tags)
 
 
 def _path_tokens(tag: str, attrs: str) -> tuple[str, ...]:
@@ -74,25 +147,26 @@ def _path_tokens(tag: str, attrs: str) -> tuple[str, ...]:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in page order."""
+    """The leaf blocks of a page in page order; its time grows with the page's length, however deep it nests."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    path = _Path()
     text: list[str] = []
     linked = total = 0
 
     def flush() -> None:
         nonlocal linked, total
-        joined = " ".join(html.unescape("".join(text)).split())
-        if joined:
-            tag = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-            out.append(Block(joined, tuple(x for _, tokens in stack for x in tokens), tag, linked / max(total, 1)))
+        joined = " ".join(html.unescape("".join(text)).split()) if text else ""
+        if joined and not path.open.get("head"):
+            out.append(Block(joined, path.blocks[-1] if path.blocks else "", linked / max(total, 1), path.sum.copy(), path.depth, path.node))
         text.clear()
         linked = total = 0
 
     def close(upto: int) -> None:
-        if any(t in BLOCK for t, _ in stack[upto:]):
+        blocks = len(path.blocks)
+        if blocks and any(x[0] in BLOCK for x in path.stack[upto:]):
             flush()
-        del stack[upto:]
+        while len(path.stack) > upto:
+            path.pop()
 
     if not page:
         return out
@@ -106,7 +180,7 @@ def blocks_of(page: str | None) -> list[Block]:
             text.append(m[7])
             n = len(m[7])
             total += n
-            if any(t == "a" for t, _ in stack):
+            if path.open.get("a"):
                 linked += n
             continue
         end, tag, attrs = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
@@ -116,19 +190,19 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            if path.open.get(tag):
+                i = len(path.stack) - 1
+                while path.stack[i][0] != tag:
+                    i -= 1
+                close(i)
+            elif tag in BLOCK:
+                flush()
             continue
         if tag in HIDDEN:
             if attrs.rstrip().endswith("/"):
                 continue
-            if tag == "head":  # only its hidden children and metadata follow; its text is dropped below
-                stack.append((tag, ("head",)))
+            if tag == "head":  # only its hidden children and metadata follow; its text is dropped
+                path.push(tag, ("head",))
                 continue
             stop = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, pos)
             pos = stop.end() if stop else size
@@ -141,47 +215,37 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            if tag == "body":
-                stack[:] = [x for x in stack if x[0] != "head"]
+            if tag == "body" and path.open.get("head"):
+                while path.open["head"]:
+                    path.pop()
             ends = ENDS.get(tag, ()) + ("p",)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPE:
-                    break
+            if path.has(ends):
+                for i in range(len(path.stack) - 1, -1, -1):
+                    if path.stack[i][0] in ends:
+                        close(i)
+                        break
+                    if path.stack[i][0] in SCOPE:
+                        break
         if not attrs.rstrip().endswith("/") or tag in BLOCK:
-            stack.append((tag, _path_tokens(tag, attrs)))
+            path.push(tag, _path_tokens(tag, attrs))
     flush()
-    return [b for b in out if "head" not in b.path[:3]]
-
-
-PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN_DIM = 96, 48, 10, 24
-INPUT = PATH_DIM + WORD_DIM + SHAPE_DIM
-
-
-@functools.lru_cache(maxsize=100_000)
-def _hash(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh32_intdigest(word)
+    return out
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """A vector for each block."""
+    """A vector for each block, over all of its words."""
     out = np.zeros((len(blocks), INPUT), np.float32)
+    slot = _word_slot.__getitem__
     for i, b in enumerate(blocks):
         row = out[i]
-        for x in b.path:
-            row[_hash(x) % PATH_DIM] += 1.0
-        row[_hash("leaf:" + b.tag) % PATH_DIM] += 1.0
+        row[:PATH_DIM] = b.sums
+        row[_path_slot["leaf:" + b.tag]] += 1.0
         words = _WORDS.findall(b.text.lower())
-        for w in words[:40] if len(words) <= 60 else words[:20] + words[-20:]:
-            row[PATH_DIM + _hash(w) % WORD_DIM] += 1.0
+        row[PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(np.fromiter(map(slot, words), np.int64, len(words)), minlength=WORD_DIM)
         n = len(b.text)
         row[PATH_DIM + WORD_DIM :] = (
-            np.log1p(n) / 8, np.log1p(len(words)) / 6, b.linked, sum(c in ".,;:!?" for c in b.text) / n, sum(c.isdigit() for c in b.text) / n,
-            b.text[-1] in ".!?", b.text[0].isupper(), i / len(blocks), np.log1p(len(b.path)) / 3, b.tag.startswith("h") and b.tag[1:].isdigit(),
+            np.log1p(n) / 8, np.log1p(len(words)) / 6, b.linked, len(_MARKS.findall(b.text)) / n, len(_DIGITS.findall(b.text)) / n,
+            b.text[-1] in ".!?", b.text[0].isupper(), i / len(blocks), np.log1p(b.depth) / 3, b.tag.startswith("h") and b.tag[1:].isdigit(),
         )
     np.minimum(out[:, :PATH_DIM], 2.0, out=out[:, :PATH_DIM])
     norm = np.linalg.norm(out[:, PATH_DIM : PATH_DIM + WORD_DIM], axis=1, keepdims=True)

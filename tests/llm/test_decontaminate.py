@@ -51,9 +51,11 @@ def test_empty_tables_and_the_bound(spark):
     assert rows_of(decontaminate.contamination(docs_of(spark, []), bench(spark, [(1, "x")]))) == []
     found = rows_of(decontaminate.contamination(docs_of(spark, ["x y"]), bench(spark, [])))
     assert (found[0]["n_words"], found[0]["n_hit"], found[0]["items"]) == (2, 0, [])
+    two = bench(spark, [(1, "one two Three four, five-six seven eight nine ten eleven"), (2, None), (3, "!")])
+    assert rows_of(decontaminate.contamination(docs_of(spark, ["x"]), two, max_windows=2))[0]["n_hit"] == 0
     try:
-        decontaminate.contamination(docs_of(spark, ["x"]), bench(spark, [(1, "x y z")]), max_windows=1)
+        decontaminate.contamination(docs_of(spark, ["x"]), two, max_windows=1)
     except ValueError as e:
-        assert "max_windows" in str(e)
+        assert "2 windows" in str(e)
     else:
         raise AssertionError("a large benchmark was sent")

@@ -63,3 +63,42 @@ def test_table(spark):
     text = "Title here\nFirst é paragraph.\nSecond one, longer."
     assert found == [(1, "u", text), (1, "u", text), (2, "u", ""), (4, "u", "")]
     assert rows_of(H.main_text(df.limit(0))) == []
+
+
+def well_formed(rng):
+    """A page that XML can read, and so an extraction that shares no code with the scanner."""
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvz") for _ in range(rng.randrange(2, 9)))
+    words = lambda a, b: " ".join(word() for _ in range(rng.randrange(a, b)))
+    prose = lambda: " ".join(words(4, 14).capitalize() + "." for _ in range(rng.randrange(1, 6)))
+    link = lambda: f'<li><a href="/{word()}">{words(1, 3)}</a></li>'
+    nav = f"<nav><ul>{''.join(link() for _ in range(rng.randrange(2, 7)))}</ul></nav>"
+    body = f"<h1>{words(2, 7).capitalize()}</h1>" + "".join(rng.choice([f"<p>{prose()}</p>", f"<p>{prose()} <b>{word()}</b> {words(1, 5)}.</p>", f"<ul><li>{prose()}</li><li>{prose()}</li></ul>"]) for _ in range(rng.randrange(2, 9)))
+    after = rng.choice(["", f'<aside class="sidebar"><h3>{words(1, 3)}</h3><ul>{link()}{link()}</ul></aside>', f'<div class="comments"><div class="comment"><p>{prose()}</p></div></div>'])
+    return f'<html><head><title>{word()}</title></head><body>{nav}<div class="ad">{prose()}</div><article>{body}</article>{after}<footer>{words(2, 6)}</footer></body></html>'
+
+
+def test_equals_an_xml_walk_on_well_formed_pages(spark):
+    from xml.etree import ElementTree
+
+    rng = random.Random(77)
+    pages = [well_formed(rng) for _ in range(200)]
+    want = []
+    for p in pages:
+        leaves = [e for e in ElementTree.fromstring(p).find("body/article").iter() if e.tag in ("h1", "p", "li")]
+        want.append("\n".join(" ".join("".join(e.itertext()).split()) for e in leaves))
+    found = {r["page_id"]: r["text"] for r in rows_of(H.main_text(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"), extra=()))}
+    assert sum(found[i] == w for i, w in enumerate(want)) >= 196
+
+
+def test_every_word_of_a_long_block_counts():
+    words = [f"w{i}" for i in range(100)]
+    one, two = (H.features(H.blocks_of(f"<p>{' '.join(words[:30] + middle + words[70:])}</p>")) for middle in (words[30:70], ["cookie"] * 40))
+    assert not np.array_equal(one[:, H.PATH_DIM : H.PATH_DIM + H.WORD_DIM], two[:, H.PATH_DIM : H.PATH_DIM + H.WORD_DIM])
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    assert len(H.blocks_of("<div>x" * 20_000)) == 20_000
+    assert len(H.blocks_of("<b>" * 20_000 + "<p>x" * 20_000)) == 20_000
+    assert H.blocks_of("<span>" * 20_000 + "</i>" * 20_000) == []
+    assert time.time() - began < 5
