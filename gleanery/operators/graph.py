@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.stage import stored
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): weakly connected components named by their smallest node.
 
-    Each round every node takes the smallest label of its neighbours and of its label's label; rounds cut
-    lineage with checkpoint() and stop when no label changes.
+    Each round every node takes the smallest label of its neighbours and of its label's label; rounds are
+    written to the shared folder and go on until no label changes.
     """
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/gleanery-checkpoints")
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct().checkpoint()
-    labels = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("root", F.col("node")).checkpoint()
-    for _ in range(rounds):
+    both = stored(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct(), "edges")
+    labels = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("root", F.col("node")), "labels")
+    while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("seen"))
-        step = labels.join(near, "node", "left").select("node", F.least("root", F.coalesce("seen", "root")).alias("root"))
+        step = labels.join(near, "node", "left").select("node", F.least("root", F.coalesce("seen", "root")).alias("root"), F.col("root").alias("old"))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = step.join(jump, "root").select("node", F.col("up").alias("root")).checkpoint()
-        changed = after.join(labels.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count()
-        labels = after
-        if not changed:
+        after = stored(step.join(jump, "root").select("node", F.col("up").alias("root"), "old"), "labels")
+        labels = after.select("node", "root")
+        if after.filter("root <> old").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:

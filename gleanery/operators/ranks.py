@@ -63,8 +63,19 @@ def rrf(ranks: Sequence[str], k: int = RRF_K, weights: Sequence[float] | None =
 
 
 def positions(df: DataFrame, score: str, tie: str, position: str = "position") -> DataFrame:
-    """``df`` with places 1..n by score descending, then ``tie``."""
-    df = stored(df, "positions")
-    places = starts(df, score).withColumnRenamed(score, "_s")
-    inside = Window.partitionBy(score).orderBy(tie)
-    return df.join(places, df[score] == places["_s"]).withColumn(position, F.col("above") + F.row_number().over(inside)).drop("_s", "above", "ties")
+    """``df`` with places 1..n by score descending, then ``tie``.
+
+    Rows are dealt to ranges of (score, tie), so rows of one score need not meet in one task; each range is
+    numbered on its own and moved by the rows of the ranges before it.
+    """
+    spark = df.sparkSession
+    ranges = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored(df.repartitionByRange(ranges, F.desc(score), F.col(tie)).withColumn("_range", F.spark_partition_id()), "positions")
+    sizes = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}  # one row a range
+    run, base = 0, []
+    for k in sorted(sizes):
+        base.append((k, run))
+        run += sizes[k]
+    before = F.broadcast(spark.createDataFrame(base, "_range int, _before long"))
+    inside = Window.partitionBy("_range").orderBy(F.desc(score), tie)
+    return dealt.join(before, "_range").withColumn(position, F.col("_before") + F.row_number().over(inside)).drop("_range", "_before")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.stage import stored
 
 #: Parameters of BM25, and of the variant that passages use.
 K1, B = 1.5, 0.75
@@ -22,18 +23,19 @@ def whole(df: DataFrame) -> DataFrame:
 def bm25(tokens: DataFrame, query: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of every record against query words; records without any score 0.
 
-    Only query words are exploded; their document frequencies, at most one row a word, are broadcast.
+    The texts are read once: of each record its length and its query words are stored, and all counts come
+    from there. Document frequencies, at most one row a word, are broadcast.
     """
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("length")).first()
-    n, average = stats["n"], stats["length"] or 1.0
     words = F.array(*map(F.lit, sorted(set(query)))) if query else F.array().cast("array<string>")
-    hits = tokens.select("id", F.size("tokens").alias("length"), F.explode(F.filter("tokens", lambda t: F.array_contains(words, t))).alias("word"))
-    tf = hits.groupBy("id", "word", "length").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    kept = stored(tokens.select("id", F.size("tokens").alias("length"), F.filter("tokens", lambda t: F.array_contains(words, t)).alias("hits")), "bm25")
+    stats = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("length")).first()
+    n, average = stats["n"], stats["length"] or 1.0
+    tf = kept.select("id", "length", F.explode("hits").alias("word")).groupBy("id", "word", "length").agg(F.count(F.lit(1)).alias("tf"))
+    df = kept.select(F.explode(F.array_distinct("hits")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
     scores = tf.join(F.broadcast(df), "word").groupBy("id").agg(F.sum(part).alias("score"))
-    return tokens.select("id").join(scores, "id", "left").select("id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
+    return kept.select("id").join(scores, "id", "left").select("id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
 
 
 def block_score(df: DataFrame, blocks: dict[str, Sequence[str]]) -> DataFrame:

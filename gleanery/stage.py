@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in ``spark.checkpoint.dir``, read back; for narrow results that several jobs read.
+def fresh(spark: SparkSession, tag: str) -> str:
+    """A new path in ``spark.checkpoint.dir``.
 
     Only a local session may leave the folder unset; it then gets one in the temp directory.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/gleanery-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/gleanery/{tag}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/gleanery/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back; for narrow results that several jobs read."""
+    spark = df.sparkSession
+    path = fresh(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

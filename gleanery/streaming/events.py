@@ -6,11 +6,11 @@ checkpoint left off. ``drain`` runs a stream over what is there now and stops.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.stage import fresh
+
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str = "events", files_at_once: int = 8) -> DataFrame:
     """The table as a stream; its time column is made a TIMESTAMP, which watermarks need."""
@@ -21,8 +21,11 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str = "events", files_at_o
     return folder.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def once_per_id(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each event once: a resent row within the delay is dropped, and state beyond it is forgotten."""
+def once_per_id(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Each event once. With a delay, state beyond it is forgotten, and rows later than it are dropped;
+    without one every id is kept in the state store and no row is late."""
+    if delay is None:
+        return events.dropDuplicates(["event_id"])
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -48,11 +51,22 @@ def split_late(events: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
 
 
 def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there now into a memory table and return it."""
+    """Run a stream over what is there now into Parquet files of the shared folder, and read them.
+
+    Appended rows go through the file sink. In complete mode each batch writes the whole result to a
+    folder of its own, and the last one is read. ``checkpoint`` resumes an earlier run.
+    """
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return spark.table(name)
+    path = fresh(spark, "drained")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        last[:] = [number]
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch-{last[0]}") if last else spark.createDataFrame([], stream.schema)
