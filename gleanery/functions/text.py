@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
 
-#: Accented Latin letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _plain_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility form without marks is one other character, and those where it is several."""
+    one, many = {}, {}
+    for c in map(chr, (*range(0x80, 0x3000), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if plain != c.lower() and plain and not plain.isspace():
+            (one if len(plain) == 1 else many)[c.lower() if len(c.lower()) == 1 else c] = plain
+    return one, many
+
+
+_ONE, _MANY = _plain_forms()
+ACCENTED, PLAIN = "".join(_ONE), "".join(_ONE.values())
+#: Of the letters that fold to several, those of Latin words.
+FOLDED = {c: x for c, x in _MANY.items() if c.isalpha() and (c < "\u0250" or c >= "\ufb00")}
 
 #: Names that stand for no author.
-PLACEHOLDER_AUTHORS = ("anonymous", "unknown", "na", "n/a", "none")
+PLACEHOLDER_AUTHORS = ("anonymous", "unknown")
 
 
 def chunks(text: Column) -> Column:
@@ -36,8 +52,11 @@ def form(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without Latin accents."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Case-folded compatibility form without marks: accents, ligatures and full-width forms become plain letters."""
+    out = F.translate(F.lower(text), ACCENTED, PLAIN)
+    for c, plain in FOLDED.items():
+        out = F.replace(out, F.lit(c), F.lit(plain))
+    return F.regexp_replace(out, r"\p{Mn}+", "")
 
 
 def normalize(text: Column) -> Column:
@@ -99,18 +118,25 @@ def strip_markup(html: Column) -> Column:
 
 
 def singular(word: Column) -> Column:
-    """The plain singular of an English plural: -ies, -sses/-xes/-ches/-shes/-zes and -s, but not -ss, -us, -is."""
+    """The plain singular of an English plural: -ies, -es after s, x, z, ch or sh, and -s, but not -ss, -us, -is;
+    words of up to three letters stay."""
     n = F.length(word)
     return (
-        F.when(word.endswith("ies") & (n > 4), F.concat(F.substring(word, F.lit(1), n - 3), F.lit("y")))
-        .when(word.rlike(r"(?:ss|x|ch|sh|z)es$"), F.substring(word, F.lit(1), n - 2))
-        .when(word.endswith("s") & ~word.rlike(r"(?:ss|us|is)$") & (n > 3), F.substring(word, F.lit(1), n - 1))
+        F.when(n <= 3, word)
+        .when(word.endswith("ies") & (n > 4), F.concat(F.substring(word, F.lit(1), n - 3), F.lit("y")))
+        .when(word.rlike(r"(?:s|x|z|ch|sh)es$"), F.substring(word, F.lit(1), n - 2))
+        .when(word.endswith("s") & ~word.rlike(r"(?:ss|us|is)$"), F.substring(word, F.lit(1), n - 1))
         .otherwise(word)
     )
 
 
-def redact(text: Column) -> Column:
-    """Values of secret-looking parameters and bearer tokens blotted out."""
+def redact(text: Column, secrets: Sequence[str | None] = ()) -> Column:
+    """Given secrets replaced wherever they occur; then values of secret-looking parameters and bearer tokens blotted out."""
+    out = text
+    for secret in secrets:
+        if secret:
+            out = F.replace(out, F.lit(secret), F.lit("<redacted>"))
+    text = out
     out = F.regexp_replace(text, r"(?i)((?:api[_-]?key|token|secret|password|ref)=)[^&#\s]+", "$1***")
     return F.regexp_replace(out, r"(?i)(bearer )[A-Za-z0-9._-]+", "$1***")
 

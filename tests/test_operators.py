@@ -3,7 +3,7 @@
 import random
 
 from gleanery.functions import text as T
-from gleanery.operators import ranks, signals
+from gleanery.operators import graph, ranks, signals
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,29 @@ def test_bm25_without_query_words_scores_zero(spark):
     assert {r["score"] for r in signals.bm25(tokens, []).collect()} == {0.0}
     scores = {r["id"]: r["score"] for r in signals.bm25(tokens, ["a"]).collect()}
     assert scores[1] > 0 == scores[2]
+
+
+def test_components_of_long_chains_equal_union_find(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + i // 2) for i in range(1, 200)] + [(rng.randrange(3000, 3100), rng.randrange(3000, 3100)) for _ in range(80)] + [(5000, 5000)]
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    found = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert found == {n: find(n) for n in root}
+
+
+def test_fold_keeps_no_mark_and_no_ligature(spark):
+    texts = ["Élan Öl STRASSE Straße", "ﬁne ﬂow", "Ａｂｃ １", "İstanbul naïve", "ﬀ e\u0301", "Łódź ø", "日本語 теСт", None]
+    want = ["elan ol strasse strasse", "fine flow", "abc 1", "istanbul naive", "ff e", "łodz ø", "日本語 тест", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", T.normalize(F.col("t")).alias("n")).orderBy("id").collect()
+    assert [r["n"] for r in rows] == want
+    words = ["buses", "classes", "boxes", "studies", "gas", "bus", "analysis", "ties", "cats", "heroes"]
+    found = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, w string").select("id", T.singular(F.col("w")).alias("s")).orderBy("id").collect()
+    assert [r["s"] for r in found] == ["bus", "class", "box", "study", "gas", "bus", "analysis", "tie", "cat", "heroe"]
