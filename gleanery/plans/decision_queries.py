@@ -271,7 +271,7 @@ SELECT doc_id, CAST(a > 0 AS INT) + CAST(b > 0 AS INT) + CAST(c > 0 AS INT) AS d
 def j20_criterion_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of a criterion in a text: how many of them, and how often."""
     tokens = read(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
-    s = tokens.select("doc_id", *[F.size(F.filter("w", lambda x, form=form: x == form)).alias(f"n{i}") for i, form in enumerate(("the", "der", "que"))])
+    s = tokens.select("doc_id", *[F.size(F.filter("w", F.lit(form).__eq__)).alias(f"n{i}") for i, form in enumerate(("the", "der", "que"))])
     hits = sum(((F.col(f"n{i}") > 0).cast("int") for i in range(3)), F.lit(0))
     return s.select("doc_id", hits.alias("distinct_hits"), (F.col("n0") + F.col("n1") + F.col("n2")).cast("long").alias("total")).filter("total > 0")
 
