@@ -128,7 +128,7 @@ def l1_fixed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l1_passages")
 def l1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages cut at paragraph and sentence ends."""
+    """Passages with their places, cut at paragraph, sentence and line ends."""
     return evidence.passages(read(spark, sf_dir, "documents"))
 
 
@@ -143,7 +143,7 @@ def l10_numbers_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "m1_exact_anchors",
-    """WITH c AS (SELECT b.item_id, d.doc_id, instr(d.text, b.text) > 0 AS e, contains(regexp_replace(lower(d.text), '[^\\p{L}\\p{N}]+', '', 'g'), regexp_replace(lower(b.text), '[^\\p{L}\\p{N}]+', '', 'g')) AS n FROM benchmark b, documents d)
+    """WITH c AS (SELECT b.item_id, d.doc_id, contains(regexp_replace(trim(d.text), '\\s+', ' ', 'g'), regexp_replace(trim(b.text), '\\s+', ' ', 'g')) AS e, contains(regexp_replace(lower(d.text), '[^\\p{L}\\p{N}]+', '', 'g'), regexp_replace(lower(b.text), '[^\\p{L}\\p{N}]+', '', 'g')) AS n FROM benchmark b, documents d)
 SELECT DISTINCT item_id, doc_id, CASE WHEN e THEN 'exact' ELSE 'normalized' END AS kind FROM c WHERE e OR n""",
 )
 def m1_exact_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,3 +322,38 @@ def t3_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t4_two_evaluators(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.when(F.col("quality") == 1 - F.col("toxic"), "agreed").otherwise("disputed")
     return read(spark, sf_dir, "labels").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l2_sentences")
+def l2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all texts with their places; tested against written cases."""
+    return evidence.sentences(read(spark, sf_dir, "documents"))
+
+
+@query("m2_verified_quotes")
+def m2_verified_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A piece of every tenth turn looked for on the turns of its conversation, the next turn named; tested against brute force."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("work"), F.col("turn").alias("page"), "text")
+    quotes = c.filter("(work * 31 + page) % 10 = 0").select((F.col("work") * 1000 + F.col("page")).alias("quote_id"), "work", F.upper(F.substring("text", 3, 60)).alias("quote"), (F.col("page") + 1).alias("named_page"))
+    return evidence.verify_quotes(quotes, c)
+
+
+@query("b27_copied_runs")
+def b27_copied_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of words that each turn shares with the turn before it; tested against brute force."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return evidence.copied_runs(c.withColumn("quote", before)).select("conv_id", "turn", "copied")
+
+
+@query(
+    "l11_unquoted_numbers",
+    """WITH n AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '\\d+(?:,\\d{3})*(?:\\.\\d+)?'), lambda x: TRY_CAST(replace(x, ',', '') AS DECIMAL(38, 6))) AS v FROM conversations),
+p AS (SELECT conv_id, turn, list_distinct(v) AS v, lag(v) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM n)
+SELECT conv_id, turn, CAST(len(list_filter(v, lambda x: NOT list_contains(coalesce(q, []), x))) AS BIGINT) AS n FROM p""",
+)
+def l11_unquoted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a turn that the turn before does not state, compared as decimals."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", T.numbers(F.col("text")).alias("v"))
+    q = F.coalesce(F.lag("v").over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<decimal(38,6)>"))
+    return c.withColumn("q", q).select("conv_id", "turn", F.size(F.array_except("v", "q")).cast("long").alias("n"))
