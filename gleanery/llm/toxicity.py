@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ MAX_ROWS, SLOTS, FACTORS = 12_000, 1 << 18, 8
 PENALTY, STEPS = 0.5, 30
 #: Turns of factors and weights; stochastic steps of a turn, rows in each, their rate; proximal steps of a turn.
 TURNS, PAIR_STEPS, BATCH, RATE, MORE_STEPS = 6, 60, 256, 0.05, 3
+#: Rows whose terms are unrolled at once while fitting: bounds the driver's memory.
+SPAN = 1024
 #: Products are small beside weights, so factors take longer steps.
 SCALE = 80.0
 #: Decay of factors: pairs whose joint effect is weaker than this do not grow.
@@ -108,33 +111,42 @@ class FactorizationMachine:
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int | None = None, rate: float = RATE) -> None:
         """``rows``: distinct slots; ``epochs`` replaces the number of stochastic steps by passes."""
+        at = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        self.fit_flat(at.astype(np.int32), np.array([len(r) for r in rows], np.int64), y, epochs, rate)
+
+    def fit_flat(self, at: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int | None = None, rate: float = RATE) -> None:
+        """The slots of all rows one after the other, and how many each row has."""
         rng = np.random.default_rng(self.seed)
-        known = [i for i, r in enumerate(rows) if len(r)]
-        rows, y, mean = [rows[i] for i in known], y[known], y.mean()
+        y, n = y[n > 0], n[n > 0]
+        mean = y.mean() if len(y) else 0.0
         self.p["b"][0] = np.log((mean + 1e-6) / (1 - mean + 1e-6))
-        if not rows:
+        if not len(y):
             return
-        n = np.array([len(r) for r in rows])
-        at, cut = np.concatenate(rows), np.cumsum(n) - n
-        share = np.bincount(at, minlength=self.slots) / len(rows)
-        penalty = PENALTY * np.sqrt(share * (1 - share) * mean * (1 - mean) / len(rows)) + 1e-12
-        self._fit_weights(at, n, cut, y, penalty, np.zeros(len(rows)), STEPS)
+        cut = np.cumsum(n) - n
+        spans = [slice(i, min(i + SPAN, len(n))) for i in range(0, len(n), SPAN)]  # rows that are unrolled at once
+        share = np.bincount(at, minlength=self.slots) / len(n)
+        penalty = PENALTY * np.sqrt(share * (1 - share) * mean * (1 - mean) / len(n)) + 1e-12
+        self._fit_weights(at, n, cut, spans, y, penalty, np.zeros(len(n)), STEPS)
         self.p["V"][share > 0] = rng.normal(size=(int((share > 0).sum()), FACTORS)) * 0.1
-        steps = epochs * max(1, len(rows) // BATCH) // TURNS + 1 if epochs else PAIR_STEPS
-        for turn in range(TURNS):
+        steps = epochs * max(1, len(n) // BATCH) // TURNS + 1 if epochs else PAIR_STEPS
+        for _ in range(TURNS):
             self._fit_pairs(at, n, cut, y, steps, rate, rng)
-            spans = np.arange(0, len(n), 1024)
-            pairs = [self._pairs(self.p["V"][at[cut[i] : cut[i] + n[i : i + 1024].sum()]], cut[i : i + 1024] - cut[i], n[i : i + 1024])[0] for i in spans]
-            self._fit_weights(at, n, cut, y, penalty, np.concatenate(pairs), MORE_STEPS)
+            pairs = [self._pairs(self.p["V"][self._slots_of(at, n, cut, k)], cut[k] - cut[k.start], n[k])[0] for k in spans]
+            self._fit_weights(at, n, cut, spans, y, penalty, np.concatenate(pairs), MORE_STEPS)
+
+    @staticmethod
+    def _slots_of(at: np.ndarray, n: np.ndarray, cut: np.ndarray, k: slice) -> np.ndarray:
+        return at[cut[k.start] : cut[k.stop - 1] + n[k.stop - 1]]
 
-    def _fit_weights(self, at: np.ndarray, n: np.ndarray, cut: np.ndarray, y: np.ndarray, penalty: np.ndarray, pairs: np.ndarray, steps: int) -> None:
+    def _fit_weights(self, at: np.ndarray, n: np.ndarray, cut: np.ndarray, spans: list[slice], y: np.ndarray, penalty: np.ndarray, pairs: np.ndarray, steps: int) -> None:
         """Accelerated proximal steps on bias and weights beside the given pair terms."""
-        row = np.repeat(np.arange(len(n)), n)
-        curve = np.maximum(np.bincount(at, np.repeat(np.sqrt(n), n), self.slots) / len(n) / 4, 1e-9)
+        each = lambda values: sum(np.bincount(self._slots_of(at, n, cut, k), np.repeat(values[k], n[k]), self.slots) for k in spans)
+        curve = np.maximum(each(np.sqrt(n)) / len(n) / 4, 1e-9)
         w, ahead, pace, b = self.p["w"], self.p["w"].copy(), 1.0, self.p["b"]
         for _ in range(steps):
-            d = (_sigmoid(b[0] + np.add.reduceat(ahead[at], cut) + pairs) - y) / len(n)
-            fresh = ahead - np.bincount(at, d[row], self.slots) / curve
+            sums = np.concatenate([np.add.reduceat(ahead[self._slots_of(at, n, cut, k)], cut[k] - cut[k.start]) for k in spans])
+            d = (_sigmoid(b[0] + sums + pairs) - y) / len(n)
+            fresh = ahead - each(d) / curve
             fresh = np.sign(fresh) * np.maximum(np.abs(fresh) - penalty / curve, 0)
             faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
             ahead, w, pace = fresh + (pace - 1) / faster * (fresh - w), fresh, faster
@@ -179,19 +191,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.unique(term_ids(t).astype(np.int64) % SLOTS) for t in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["key", "y", "ids"])
+            ids = [np.unique((term_ids(t).astype(np.int64) % SLOTS).astype(np.int32)) for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["key", "y", "ids"])
 
     picked = docs.select(id_col, F.col(text_col).alias("g_text")).join(F.broadcast(known), id_col)
     kind = dict(docs.dtypes)[id_col]
-    terms = picked.select(F.col(id_col), "g_label", "g_text").mapInArrow(featurize, f"key {kind}, y int, ids array<long>")
+    terms = picked.select(F.col(id_col), "g_label", "g_text").mapInArrow(featurize, f"key {kind}, y int, ids array<int>")
     rows = materialize(terms.groupBy("key").agg(F.max("y").alias("y"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids")), "toxic-terms")
-    found = rows.orderBy("key").toPandas()  # at most max_rows rows
-    model, y = FactorizationMachine(), found["y"].to_numpy(float)
+    found = rows.orderBy("key").toArrow()  # at most max_rows rows, as flat arrays
+    model, y = FactorizationMachine(), found["y"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         model.p["b"][0] = -30.0
         return model
-    model.fit([np.asarray(r, np.int64) for r in found["ids"]], y)
+    ids = [c.flatten().to_numpy() for c in found["ids"].chunks]
+    model.fit_flat(np.concatenate(ids), pc.list_value_length(found["ids"]).to_numpy().astype(np.int64), y)
     return model
 
 
