@@ -34,11 +34,13 @@ MAX_ROWS, SLOTS, FACTORS = 12_000, 1 << 18, 8
 #: Strength of the penalty in units of a gradient's noise, and proximal steps.
 PENALTY, STEPS = 0.5, 30
 #: Turns of factors and weights; stochastic steps of a turn, rows in each, their rate; proximal steps of a turn.
-TURNS, PAIR_STEPS, BATCH, RATE, MORE_STEPS = 6, 60, 256, 0.05, 3
+TURNS, PAIR_STEPS, BATCH, RATE, MORE_STEPS = 10, 50, 192, 0.05, 3
 #: Rows whose terms are unrolled at once while fitting: bounds the driver's memory.
 SPAN = 1024
 #: Products are small beside weights, so factors take longer steps.
 SCALE = 80.0
+#: Spread of the factors at the start.
+START = 0.3
 #: Decay of factors: pairs whose joint effect is weaker than this do not grow.
 SHRINK = 2e-3
 PREFIXES = (3, 4, 5, 6)
@@ -61,10 +63,15 @@ class _TermIds(dict):
 _ids = _TermIds()
 
 
+def term_hashes(text: str | None) -> np.ndarray:
+    """The term hashes of the distinct words of a text."""
+    words = set(_WORD.findall(text.lower())) if text else ()
+    return np.array([i for w in words for i in _ids[w]], np.uint32)
+
+
 def term_ids(text: str | None) -> np.ndarray:
     """The distinct term hashes of a text, sorted."""
-    words = set(_WORD.findall(text.lower())) if text else ()
-    return np.unique(np.array([i for w in words for i in _ids[w]], np.uint32))
+    return np.unique(term_hashes(text))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -78,11 +85,11 @@ class FactorizationMachine:
     def __init__(self, terms: np.ndarray | int = SLOTS, seed: int = 3):
         self.slots = terms if isinstance(terms, int) else len(terms)
         self.seed = seed
-        self.p = {"b": np.zeros(1), "w": np.zeros(self.slots), "V": np.zeros((self.slots, FACTORS), np.float32)}
+        self.p = {"b": np.zeros(1), "w": np.zeros(self.slots), "V": np.zeros((self.slots, FACTORS), np.float32, order="F")}
 
     def locate(self, ids: np.ndarray) -> np.ndarray:
         """The slots of term hashes."""
-        return np.unique(ids.astype(np.int64) % self.slots) if self.slots else np.empty(0, np.int64)
+        return np.unique(ids % np.uint32(self.slots)).astype(np.int32) if self.slots else np.empty(0, np.int64)
 
     def logits(self, rows: list[np.ndarray]) -> np.ndarray:
         """The logit of each row of slots."""
@@ -91,20 +98,24 @@ class FactorizationMachine:
         if some:
             at, n = np.concatenate([rows[i] for i in some]), np.array([len(rows[i]) for i in some])
             cut = np.cumsum(n) - n
-            out[some] += np.add.reduceat(self.p["w"][at], cut) + self._pairs(self.p["V"][at], cut, n)[0]
+            out[some] += np.add.reduceat(self.p["w"][at], cut) + self._pairs(self.p["V"], at, cut, n)[0]
         return out
 
     @staticmethod
-    def _pairs(v: np.ndarray, cut: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pair term of each row, and the sum of its factors."""
-        s = np.add.reduceat(v, cut)
-        return 0.5 * ((s * s).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), cut)) / n, s
+    def _pairs(V: np.ndarray, at: np.ndarray, cut: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The pair term of each row, and the sums of its factors, one factor at a time."""
+        total, sums = np.zeros(len(n)), []
+        for k in range(V.shape[1]):
+            v = V[:, k][at]
+            sums.append(np.add.reduceat(v, cut))
+            total += sums[-1] * sums[-1] - np.add.reduceat(v * v, cut)
+        return 0.5 * total / n, sums
 
     def logit(self, at: np.ndarray) -> float:
         return float(self.logits([at])[0])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return _sigmoid(self.logits([self.locate(term_ids(t)) for t in texts]))
+        return _sigmoid(self.logits([self.locate(term_hashes(t)) for t in texts]))
 
     def score(self, text: str | None) -> float:
         return float(self.scores([text])[0])
@@ -127,11 +138,11 @@ class FactorizationMachine:
         share = np.bincount(at, minlength=self.slots) / len(n)
         penalty = PENALTY * np.sqrt(share * (1 - share) * mean * (1 - mean) / len(n)) + 1e-12
         self._fit_weights(at, n, cut, spans, y, penalty, np.zeros(len(n)), STEPS)
-        self.p["V"][share > 0] = rng.normal(size=(int((share > 0).sum()), FACTORS)) * 0.1
+        self.p["V"][share > 0] = rng.normal(size=(int((share > 0).sum()), FACTORS)) * START
         steps = epochs * max(1, len(n) // BATCH) // TURNS + 1 if epochs else PAIR_STEPS
         for _ in range(TURNS):
             self._fit_pairs(at, n, cut, y, steps, rate, rng)
-            pairs = [self._pairs(self.p["V"][self._slots_of(at, n, cut, k)], cut[k] - cut[k.start], n[k])[0] for k in spans]
+            pairs = [self._pairs(self.p["V"], self._slots_of(at, n, cut, k), cut[k] - cut[k.start], n[k])[0] for k in spans]
             self._fit_weights(at, n, cut, spans, y, penalty, np.concatenate(pairs), MORE_STEPS)
 
     @staticmethod
@@ -164,13 +175,14 @@ class FactorizationMachine:
             m = n[pick]
             seg = np.cumsum(m) - m
             t = at[np.repeat(cut[pick] - seg, m) + np.arange(m.sum())]
-            v = V[t]
-            pair, s = self._pairs(v, seg, m)
+            pair, sums = self._pairs(V, t, seg, m)
             d = (_sigmoid(b[0] + np.add.reduceat(w[t], seg) + pair) - y[pick]) / len(pick) / m
-            down = (np.repeat(s, m, axis=0) - v) * np.repeat(d, m).astype(np.float32)[:, None]
-            V *= np.float32(1 - SCALE * rate * SHRINK)
+            each, lr = np.repeat(d, m), SCALE * rate
             for k in range(FACTORS):
-                V[:, k] -= (SCALE * rate * np.bincount(t, down[:, k], self.slots)).astype(np.float32)
+                v = V[:, k]
+                grad = np.bincount(t, (np.repeat(sums[k], m) - v[t]) * each, self.slots)
+                v *= np.float32(1 - lr * SHRINK)
+                v -= (lr * grad).astype(np.float32)
 
 
 def held_out(id_: Column) -> Column:
@@ -191,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.unique((term_ids(t).astype(np.int64) % SLOTS).astype(np.int32)) for t in b.column(2).to_pylist()]
+            ids = [np.unique(term_hashes(t) % np.uint32(SLOTS)).astype(np.int32) for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["key", "y", "ids"])
 
     picked = docs.select(id_col, F.col(text_col).alias("g_text")).join(F.broadcast(known), id_col)
