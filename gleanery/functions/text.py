@@ -24,8 +24,8 @@ def _plain_forms() -> tuple[dict[str, str], dict[str, str]]:
 
 _ONE, _MANY = _plain_forms()
 ACCENTED, PLAIN = "".join(_ONE), "".join(_ONE.values())
-#: Of the letters that fold to several, those of Latin words.
-FOLDED = {c: x for c, x in _MANY.items() if c.isalpha() and (c < "\u0250" or c >= "\ufb00")}
+#: Of the letters that fold to several, those that texts hold: sharp s and the printed ligatures.
+FOLDED = {c: x for c, x in _MANY.items() if c in "\u00df\u0133" or c >= "\ufb00"}
 
 #: Names that stand for no author.
 PLACEHOLDER_AUTHORS = ("anonymous", "unknown")

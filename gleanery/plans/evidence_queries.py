@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import evidence
+from gleanery.operators import evidence, ranks
 from gleanery.plans.text_scalars import grams_sql, norm_sql
 from gleanery.registry import query
 from gleanery.sources.tables import POOL_SQL, pool, read, tokens_sql
@@ -289,7 +289,9 @@ SELECT lang, depth, round(count(*) FILTER (k <= depth) / CAST(count(*) AS DOUBLE
 def t1_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of the labelled documents at five depths of a ranking by length, per language."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    k = d.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")))
+    placed = ranks.positions(d.withColumn("s", F.struct("lang", "n_chars")), "s", "doc_id")  # languages one after the other
+    before = placed.groupBy("lang").agg((F.min("position") - 1).alias("before"))
+    k = placed.join(before, "lang").withColumn("k", F.col("position") - F.col("before")).select("doc_id", "lang", "k")
     gold = k.join(read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
     deep = gold.select("lang", "k", F.explode(F.array(*map(F.lit, (10, 20, 50, 100, 200)))).alias("depth"))
     return deep.groupBy("lang", "depth").agg(F.round(F.count_if(F.col("k") <= F.col("depth")) / F.count(F.lit(1)), 6).alias("recall"))

@@ -31,14 +31,12 @@ ft AS (SELECT *, CASE WHEN kind = 'notice' OR id % 7 = 2 THEN {norm_sql("bare")}
 @query("b6_record_kinds", f"WITH {_RECORDS} SELECT id, kind, CASE WHEN kind = 'notice' THEN 'correction' END AS notice FROM kd")
 def b6_record_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds from DOI and title; "Retraction of ..." is no notice, "Publisher Correction: ..." and "Correction to ..." are."""
-    r = records(spark, sf_dir)
-    return r.select("id", I.record_kind(F.col("doi"), F.col("title"), F.col("version_label")).alias("kind"), I.notice_type(F.col("title")).alias("notice"))
+    return I.kinds(records(spark, sf_dir)).select("id", "kind", "notice")
 
 
 @query("b5_comparable_titles", f"WITH {_RECORDS} SELECT id, CASE WHEN kind = 'notice' AND id % 7 = 3 AND starts_with(ct, 'to ') THEN substr(ct, 4) ELSE ct END AS ct FROM ft")
 def b5_comparable_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = I.record_kind(F.col("doi"), F.col("title"), F.col("version_label"))
-    return records(spark, sf_dir).select("id", I.comparable_title(kind, F.col("title")).alias("ct"))
+    return I.kinds(records(spark, sf_dir)).select("id", "ct")
 
 
 
