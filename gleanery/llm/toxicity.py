@@ -48,15 +48,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class _TermIds(dict):
-    """The term hashes of a word."""
+    """The term hashes of a word, packed."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         import xxhash
 
         if len(self) > 300_000:
             self.clear()
         terms = [word] + [f"{word[:n]}*" for n in PREFIXES if len(word) > n]
-        ids = self[word] = tuple(xxhash.xxh32_intdigest(t) for t in terms)
+        ids = self[word] = np.array([xxhash.xxh32_intdigest(t) for t in terms], np.uint32).tobytes()
         return ids
 
 
@@ -66,7 +66,7 @@ _ids = _TermIds()
 def term_hashes(text: str | None) -> np.ndarray:
     """The term hashes of the distinct words of a text."""
     words = set(_WORD.findall(text.lower())) if text else ()
-    return np.array([i for w in words for i in _ids[w]], np.uint32)
+    return np.frombuffer(b"".join(map(_ids.__getitem__, words)), np.uint32)
 
 
 def term_ids(text: str | None) -> np.ndarray:
