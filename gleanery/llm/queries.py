@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, mixing, ngram_join, pii, sharding, token_count, toxicity, warc
+from . import decontaminate, exact_dedup, hard_negatives, html_text, mixing, ngram_join, pii, quality, resampling, sharding, token_count, toxicity, warc
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,10 +81,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_pii, op2_html_text, op3_mixing, op4_ngram_join, op5_toxicity, op6_decontamination, op7_warc, op8_token_counts, op9_sharding, op10_exact_dedup)
-}
+    for f in (
+        op1_pii, op2_html_text, op3_mixing, op4_ngram_join, op5_toxicity, op6_decontamination, op7_warc, op8_token_counts, op9_sharding, op10_exact_dedup,
+        op11_hard_negatives, op12_quality, op13_resampling,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_ngram_join": r"""
@@ -125,4 +144,33 @@ SELECT page_id, n AS payload_bytes,
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, sha256(t) AS h, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM w""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS a, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS j FROM s WHERE same QUALIFY j <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.a, p.j ORDER BY s.score DESC, s.id) AS r
+      FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY r <= 5)
+SELECT anchor_id, positive_id, CAST(r AS INT) AS rank, negative_id, positive_score, negative_score FROM n""",
+    "op13_resampling": r"""
+WITH k AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT rid, w, count(*) AS n FROM (SELECT rid, unnest(w) AS w FROM d) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) GROUP BY ALL),
+u AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+h AS (SELECT w, xor(4294967295, list_reduce(list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+             lambda c, y: xor(c >> 8, crc[CAST((xor(c, y) & 255) + 1 AS INT)]), 4294967295)) % 10000 AS bucket FROM u, k),
+ds AS (SELECT bucket, sum(n) AS s FROM dw JOIN h USING (w) GROUP BY bucket),
+bt AS (SELECT bucket, sum(n) AS t FROM bw JOIN h USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1.0::DOUBLE) * (SELECT coalesce(sum(s), 0) + 10000.0::DOUBLE FROM ds)) / ((coalesce(s, 0) + 1.0::DOUBLE) * (SELECT coalesce(sum(t), 0) + 10000.0::DOUBLE FROM bt)))) AS gain
+      FROM ds FULL JOIN bt USING (bucket)),
+m AS (SELECT rid, sum(n) AS n, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM dw JOIN h USING (w) JOIN g USING (bucket) GROUP BY rid),
+r AS (SELECT rid, doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+      FROM d LEFT JOIN m USING (rid)),
+o AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM r WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM r LEFT JOIN o USING (rid)""",
 }
