@@ -45,21 +45,27 @@ def merge_parts(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> Dat
     return both.select(*keys, label.alias("label"), verified.alias("quote_verified"), disputed.alias("disputed"))
 
 
-def claim_result(parts: DataFrame, keys: Sequence[str], most_parts: int = 12, most_quotes: int = 3) -> DataFrame:
+#: Parts of a claim, quotes of a part and of a claim at most.
+CLAIM_PARTS, PART_QUOTES, CLAIM_QUOTES = 4, 3, 8
+
+
+def claim_result(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, result): found_whole, found_partial, not_found_in_given, or could_not_check for anything that is not in order.
 
     ``parts``: keys, assessment (stated, partly, not_stated), quotes, located, whole (the parts cover the sentence).
     """
     positive = F.col("assessment").isin("stated", "partly")
     odd = ~F.coalesce(F.col("assessment").isin("stated", "partly", "not_stated"), F.lit(False))
-    bad = odd | (positive & ((F.col("quotes") < 1) | (F.col("quotes") > most_quotes) | (F.col("located") < 1))) | (~positive & (F.col("quotes") > 0)) | ~F.coalesce(F.col("whole"), F.lit(False))
+    bad = odd | (positive & ((F.col("quotes") < 1) | (F.col("quotes") > PART_QUOTES) | (F.col("located") < 1))) | (~positive & (F.col("quotes") > 0)) | ~F.coalesce(F.col("whole"), F.lit(False))
     g = parts.groupBy(*keys).agg(
         F.bool_or(F.coalesce(bad, F.lit(True))).alias("bad"),
         F.count(F.lit(1)).alias("n"),
+        F.sum("quotes").alias("q"),
         F.bool_and(F.col("assessment") == "stated").alias("every"),
         F.bool_and(F.col("assessment") == "not_stated").alias("none"),
     )
-    result = F.when(F.col("bad") | (F.col("n") > most_parts), "could_not_check").when(F.col("every"), "found_whole").when(F.col("none"), "not_found_in_given").otherwise("found_partial")
+    beyond = (F.col("n") > CLAIM_PARTS) | (F.col("q") > CLAIM_QUOTES)
+    result = F.when(F.col("bad") | beyond, "could_not_check").when(F.col("every"), "found_whole").when(F.col("none"), "not_found_in_given").otherwise("found_partial")
     return g.select(*keys, result.alias("result"))
 
 
@@ -84,17 +90,62 @@ def survey_flags(title: Column, abstract: Column, references: Column, words: Seq
     return F.array_compact(flags)
 
 
-def reference_list(text: Column, entries: int = 4, years: int = 4) -> Column:
-    """Whether a passage reads as a list of references: numbered entries, or many years in brackets or after commas."""
-    numbered = F.regexp_count(text, F.lit(r"(?m)^\s*\[?\d{1,3}[\].]\s"))
-    dated = F.regexp_count(text, F.lit(r"[(,]\s?(?:1[5-9]\d\d|20\d\d)[a-z]?[).,]"))
-    return (numbered >= entries) | (dated >= years)
+#: How an entry of a numbered list opens, what a year is, how the end of an entry reads, and how
+#: many entries and years make a list; characters before the first entry that need no such end.
+ENTRY, YEAR, ENTRY_END = r"\[\d{1,3}\]\s+(?:[A-Z]\.|[A-Z][a-z]+,)", r"\b(?:19|20)\d{2}\b", r",[^,]{0,40}(?:(?:19|20)\d{2}|\d+\s*[\x{2013}-]\s*\d+)\.?$"
+LIST_ENTRIES, SHORT_LEAD = 3, 40
+
+
+def reference_list(text: Column) -> Column:
+    """Whether a passage belongs to a numbered reference list: enough entries and years, the first entry in the
+    first third, and before it only a short lead or the end of another entry."""
+    many = (F.regexp_count(text, F.lit(ENTRY)) >= LIST_ENTRIES) & (F.regexp_count(text, F.lit(YEAR)) >= LIST_ENTRIES)
+    lead = F.regexp_extract(text, rf"(?s)^(.*?){ENTRY}", 1)
+    bare = F.regexp_replace(lead, r"^\s+|\s+$", "")
+    early = F.length(lead) * 3 <= F.length(text)
+    return F.coalesce(many & early & ((F.length(bare) <= SHORT_LEAD) | bare.rlike(ENTRY_END)), F.lit(False))
+
+
+#: Fixed value: authors that a work has at least where a citation shortens them to "et al.".
+ET_AL_AUTHORS = 3
 
 
 def authors_admitted(cited: Column, et_al: Column, surnames: Column) -> Column:
-    """Whether cited surnames are a record's: all of them in order, or the first ones with "et al."."""
-    n = F.size(cited)
-    return F.when((n == 0) | (F.size(surnames) == 0), False).when(et_al, (n <= F.size(surnames)) & (F.slice(surnames, F.lit(1), F.greatest(n, F.lit(1))) == cited)).otherwise(surnames == cited)
+    """Whether cited surnames are a record's: all of them in order; with "et al." the first ones of a work that has
+    at least one more and at least ``ET_AL_AUTHORS``. Nothing cited or no surnames: not admitted."""
+    n, all_ = F.size(cited), F.size(surnames)
+    opens = F.slice(surnames, F.lit(1), F.greatest(n, F.lit(1))) == cited
+    return F.when((n < 1) | (all_ < 1), False).when(et_al, (all_ >= ET_AL_AUTHORS) & (all_ > n) & opens).otherwise(surnames == cited)
+
+
+def usage_tokens(usage: Column) -> Column:
+    """input, cached, written and output tokens of a usage object as JSON text; null where it names no input or no output.
+
+    Each shape is known by its field names (fixed values). ``input`` is the whole prompt. A count that is no
+    number of 0 or more is missing."""
+
+    def number(*paths: str) -> Column:
+        return F.coalesce(*[F.when(F.get_json_object(usage, f"$.{p}").rlike(r"^[0-9]+(?:\.[0-9]+)?$"), F.floor(F.get_json_object(usage, f"$.{p}").cast("double"))) for p in paths])
+
+    none = F.lit(0).cast("long")
+    has = lambda *paths: F.coalesce(*[F.get_json_object(usage, f"$.{p}") for p in paths]).isNotNull()
+    made = lambda i, c, w, o: F.when(i.isNotNull() & o.isNotNull(), F.struct(i.alias("input"), c.alias("cached"), w.alias("written"), o.alias("output")))
+    or_none = lambda c: F.coalesce(c, none)
+    counted = made(number("promptTokenCount"), or_none(number("cachedContentTokenCount")), none, number("candidatesTokenCount") + or_none(number("thoughtsTokenCount")))
+    read, written = or_none(number("cache_read_input_tokens")), or_none(number("cache_creation_input_tokens"))
+    apart = made(number("input_tokens") + read + written, read, written, number("output_tokens"))
+    prompt = number("prompt_tokens", "input_tokens")
+    hit = F.coalesce(number("prompt_tokens_details.cached_tokens", "input_tokens_details.cached_tokens", "prompt_cache_hit_tokens"), none)
+    plain = made(prompt, F.least(prompt, hit), none, number("completion_tokens", "output_tokens"))
+    return F.when(has("promptTokenCount", "candidatesTokenCount"), counted).when(has("cache_read_input_tokens", "cache_creation_input_tokens"), apart).otherwise(plain)
+
+
+def token_cost(tokens: Column, price: Column) -> Column:
+    """The cost of ``usage_tokens`` at prices per million (struct input, cached, written, output): cached and
+    written parts at their own price, or the input price where none is listed, and the rest of the prompt plain."""
+    plain = tokens["input"] - tokens["cached"] - tokens["written"]
+    own = lambda tier: F.coalesce(price[tier], price["input"])
+    return (plain * price["input"] + tokens["cached"] * own("cached") + tokens["written"] * own("written") + tokens["output"] * price["output"]) / 1_000_000
 
 
 def access_level(pdf_text: Column, abstract: Column) -> Column:

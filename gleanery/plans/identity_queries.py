@@ -34,7 +34,7 @@ def b6_record_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.kinds(records(spark, sf_dir)).select("id", "kind", "notice")
 
 
-@query("b5_comparable_titles", f"WITH {_RECORDS} SELECT id, CASE WHEN kind = 'notice' AND id % 7 = 3 AND starts_with(ct, 'to ') THEN substr(ct, 4) ELSE ct END AS ct FROM ft")
+@query("b5_comparable_titles", f"WITH {_RECORDS} SELECT id, CASE WHEN kind = 'notice' AND id % 7 = 0 AND starts_with(ct, 'to ') THEN substr(ct, 4) ELSE ct END AS ct FROM ft")
 def b5_comparable_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.kinds(records(spark, sf_dir)).select("id", "ct")
 
@@ -65,7 +65,7 @@ def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(first, "key").filter("a <> id").select("a", F.col("id").alias("b"))
 
 
-_JUDGED = f"""{_RECORDS}, fx AS (SELECT id, kind, year, provider, lang, CASE WHEN kind = 'notice' AND id % 7 = 3 AND starts_with(ct, 'to ') THEN substr(ct, 4) ELSE ct END AS ct, {norm_sql("abstract")} AS ab FROM ft),
+_JUDGED = f"""{_RECORDS}, fx AS (SELECT id, kind, year, provider, lang, CASE WHEN kind = 'notice' AND id % 7 = 0 AND starts_with(ct, 'to ') THEN substr(ct, 4) ELSE ct END AS ct, {norm_sql("abstract")} AS ab FROM ft),
 gr AS (SELECT *, {grams_sql('ct')} AS g, {grams_sql('ab')} AS h FROM fx),
 ky AS (SELECT id, substr({norm_sql('title')}, 1, 12) AS key FROM pool), st AS (SELECT min(id) OVER (PARTITION BY key) AS a, id AS b FROM ky WHERE key <> ''),
 cp AS (SELECT a, b, x.kind AS kind_a, y.kind AS kind_b, x.ct AS ct_a, y.ct AS ct_b, FALSE AS names_published_doi, FALSE AS external_link, FALSE AS names_other_doi, abs(x.year - y.year) AS year_gap, least(length(x.ct), length(y.ct)) AS shortest,

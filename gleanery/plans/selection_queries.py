@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.operators import ranks, selection as S
+from gleanery.operators import decisions as D, ranks, selection as S
 from gleanery.registry import query
 from gleanery.sources.tables import read
 
@@ -294,12 +294,22 @@ def e12_requests_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "e10_token_cost",
-    "SELECT event_type, round(sum((k - least(k, c)) * 3.0 + least(k, c) * 0.3 + w * 3.75) / 1000000, 9) AS cost FROM (SELECT event_type, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, user_id % 10 AS c, event_id % 5 AS w FROM events) GROUP BY event_type",
+    """WITH e AS (SELECT event_type, event_id % 5 AS shape, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, user_id % 10 AS c, event_id % 7 AS w FROM events),
+t AS (SELECT event_type, CASE WHEN shape = 2 THEN k + c + w ELSE k END AS i, CASE shape WHEN 0 THEN c WHEN 2 THEN c WHEN 4 THEN 0 ELSE least(k, c) END AS ca, CASE WHEN shape = 2 THEN w ELSE 0 END AS wr, CASE WHEN shape = 0 THEN w + c ELSE w END AS o FROM e)
+SELECT event_type, round(sum((i - ca - wr) * 3.0 + ca * 0.3 + wr * 3.75 + o * 15.0) / 1000000, 9) AS cost, sum(i) AS input, sum(o) AS output FROM t GROUP BY event_type""",
 )
 def e10_token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost of calls: plain tokens, cached ones at a tenth, written ones at five quarters, by a small price table."""
-    price = spark.createDataFrame([(3.0, 0.3, 3.75)], "plain double, cached double, written double").first()
-    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
-    e = read(spark, sf_dir, "events").select("event_type", k.alias("k"), (F.col("user_id") % 10).alias("c"), (F.col("event_id") % 5).alias("w"))
-    cached = F.least("k", "c")
-    return e.groupBy("event_type").agg(F.round(F.sum((F.col("k") - cached) * price["plain"] + cached * price["cached"] + F.col("w") * price["written"]) / 1000000, 9).alias("cost"))
+    """Cost of calls whose usage objects come in five shapes, by a price struct."""
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).cast("string")
+    c, w = (F.col("user_id") % 10).cast("string"), (F.col("event_id") % 7).cast("string")
+    shapes = (
+        F.format_string('{"promptTokenCount":%s,"cachedContentTokenCount":%s,"candidatesTokenCount":%s,"thoughtsTokenCount":%s}', k, c, w, c),
+        F.format_string('{"prompt_tokens":%s,"completion_tokens":%s,"prompt_cache_hit_tokens":%s}', k, w, c),
+        F.format_string('{"input_tokens":%s,"cache_read_input_tokens":%s,"cache_creation_input_tokens":%s,"output_tokens":%s}', k, c, w, w),
+        F.format_string('{"input_tokens":%s,"output_tokens":%s,"input_tokens_details":{"cached_tokens":%s}}', k, w, c),
+        F.format_string('{"prompt_tokens":%s,"completion_tokens":%s}', k, w),
+    )
+    usage = F.element_at(F.array(*shapes), (F.col("event_id") % 5 + 1).cast("int"))
+    price = F.struct(F.lit(3.0).alias("input"), F.lit(0.3).alias("cached"), F.lit(3.75).alias("written"), F.lit(15.0).alias("output"))
+    t = read(spark, sf_dir, "events").select("event_type", D.usage_tokens(usage).alias("t"))
+    return t.groupBy("event_type").agg(F.round(F.sum(D.token_cost(F.col("t"), price)), 9).alias("cost"), F.sum("t.input").alias("input"), F.sum("t.output").alias("output"))
