@@ -54,6 +54,34 @@ def mean_ranks(df: DataFrame, score: str, rank: str, available: Column | None =
     return joined.withColumn(rank, mean.cast("double")).withColumn(f"{rank}_available", F.col("_score").isNotNull()).drop("_score", "_s", "above", "ties")
 
 
+def rank_all(df: DataFrame, scores: Sequence[str], available: dict[str, Column] | None = None, key: str = "id") -> DataFrame:
+    """(key, a rank for each score, ``<score>_available``): mean ranks of several signals in one pass, keys distinct.
+
+    As ``mean_ranks``, without a job for every signal: the scores are stored once and counted as rows of (signal,
+    score), distinct ones are dealt to ranges in order and numbered there, and a record's places meet by its key.
+    """
+    spark, known = df.sparkSession, available or {}
+    kept = stored(df.select(key, *[F.when(known.get(c, F.lit(True)) & F.col(c).isNotNull(), F.col(c).cast("double")).alias(c) for c in scores]), "scores")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("signal"), F.col(c).alias("score")) for i, c in enumerate(scores)])).alias("s")
+    long = kept.select(key, each).select(key, "s.*").filter("score IS NOT NULL")
+    counts = long.groupBy("signal", "score").agg(F.count(F.lit(1)).alias("ties"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(counts.repartitionByRange(ranges, "signal", F.desc("score")).withColumn("_range", F.spark_partition_id()), "score-ties")
+    n = kept.count()
+    base, run = [], {i: 0 for i in range(len(scores))}
+    for r in dealt.groupBy("signal", "_range").agg(F.sum("ties").alias("n")).orderBy("signal", "_range").collect():  # a row a range and signal
+        base.append((r["signal"], r["_range"], run[r["signal"]]))
+        run[r["signal"]] += r["n"]
+    before = F.broadcast(spark.createDataFrame(base, "signal int, _range int, _before long"))
+    inside = Window.partitionBy("signal", "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    above = F.col("_before") + F.coalesce(F.sum("ties").over(inside), F.lit(0))
+    places = dealt.join(before, ["signal", "_range"]).select("signal", "score", (above + (F.col("ties") + 1) / 2).alias("_rank"))
+    ranked = long.join(places, ["signal", "score"]).groupBy(key).agg(*[F.max(F.when(F.col("signal") == i, F.col("_rank"))).alias(c) for i, c in enumerate(scores)])
+    tails = [F.lit((run[i] + n - 1) / 2 + 1) for i in range(len(scores))]
+    out = kept.select(key).join(ranked, key, "left")
+    return out.select(key, *[F.coalesce(c, t).alias(c) for c, t in zip(scores, tails)], *[F.col(c).isNotNull().alias(f"{c}_available") for c in scores])
+
+
 def rrf(ranks: Sequence[str], k: int = RRF_K, weights: Sequence[float] | None = None) -> Column:
     """Reciprocal rank fusion of rank columns, rounded so that the order of addition cannot show."""
     total = F.lit(0.0)

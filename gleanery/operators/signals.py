@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,19 +24,20 @@ def whole(df: DataFrame) -> DataFrame:
 def bm25(tokens: DataFrame, query: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of every record against query words; records without any score 0.
 
-    The texts are read once: of each record its length and its query words are stored, and all counts come
-    from there. Document frequencies, at most one row a word, are broadcast.
+    The texts are read once: of each record its length and its query words are stored. One aggregation counts the
+    records, their words and how many hold each query word; scores are then a matter of each row alone.
     """
-    words = F.array(*map(F.lit, sorted(set(query)))) if query else F.array().cast("array<string>")
+    asked = sorted(set(query))
+    words = F.array(*map(F.lit, asked)) if asked else F.array().cast("array<string>")
     kept = stored(tokens.select("id", F.size("tokens").alias("length"), F.filter("tokens", lambda t: F.array_contains(words, t)).alias("hits")), "bm25")
-    stats = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("length")).first()
+    stats = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("length"), *[F.count_if(F.array_contains("hits", w)).alias(f"d{i}") for i, w in enumerate(asked)]).first()
     n, average = stats["n"], stats["length"] or 1.0
-    tf = kept.select("id", "length", F.explode("hits").alias("word")).groupBy("id", "word", "length").agg(F.count(F.lit(1)).alias("tf"))
-    df = kept.select(F.explode(F.array_distinct("hits")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
-    scores = tf.join(F.broadcast(df), "word").groupBy("id").agg(F.sum(part).alias("score"))
-    return kept.select("id").join(scores, "id", "left").select("id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
+    total, norm = F.lit(0.0), k1 * (1 - b + b * F.col("length") / average)
+    for i, w in enumerate(asked):
+        idf = math.log(1 + (n - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5))
+        tf = F.size("hits") - F.size(F.array_remove("hits", w))
+        total = total + F.lit(idf) * tf * (k1 + 1) / (tf + norm)
+    return kept.select("id", F.round(total, 9).alias("score"))
 
 
 def block_score(df: DataFrame, blocks: dict[str, Sequence[str]]) -> DataFrame:
@@ -63,14 +65,18 @@ def tfidf_vectors(tokens: DataFrame, frequency: DataFrame, n: int) -> DataFrame:
     return raw.join(norm, "id").select("id", "word", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def tfidf(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(id, score): largest cosine of a record to a seed (id, tokens); seeds know only words of the pool."""
+def tfidf_dots(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, seed, dot): cosine of a record to each seed (id, tokens) that it shares a word with; seeds know only words of the pool."""
     n = tokens.count()
     frequency = tokens.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     mine = tfidf_vectors(tokens, frequency, n)
     theirs = tfidf_vectors(seeds, frequency, n).select(F.col("id").alias("seed"), "word", F.col("weight").alias("other"))
-    dots = mine.join(theirs, "word").groupBy("id", "seed").agg(F.sum(F.col("weight") * F.col("other")).alias("dot"))
-    best = dots.groupBy("id").agg(F.max("dot").alias("score"))
+    return mine.join(theirs, "word").groupBy("id", "seed").agg(F.sum(F.col("weight") * F.col("other")).alias("dot"))
+
+
+def tfidf(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, score): largest cosine of a record to a seed (id, tokens)."""
+    best = tfidf_dots(tokens, seeds).groupBy("id").agg(F.max("dot").alias("score"))
     return tokens.select("id").join(best, "id", "left").select("id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 

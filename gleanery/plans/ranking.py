@@ -86,10 +86,9 @@ SELECT id, round(1.0 / (60 + r1) + 1.0 / (60 + r2), 9) AS fused FROM r ORDER BY
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: BM25 and concept blocks, each to mean ranks, fused, the first 100."""
     p = pool(spark, sf_dir)
-    bm = ranks.mean_ranks(signals.bm25(signals.whole(p), query_words(spark, sf_dir)), "score", "r1").select("id", "r1")
-    blocks = signals.block_score(p, _blocks(spark, sf_dir)).withColumn("s", (F.col("in_title") * 1000 + F.col("forms")).cast("double"))
-    bl = ranks.mean_ranks(blocks, "s", "r2").select("id", "r2")
-    return bm.join(bl, "id").select("id", ranks.rrf(["r1", "r2"]).alias("fused")).orderBy(F.desc("fused"), "id").limit(100)
+    blocks = signals.block_score(p, _blocks(spark, sf_dir)).select("id", (F.col("in_title") * 1000 + F.col("forms")).alias("r2"))
+    both = signals.bm25(signals.whole(p), query_words(spark, sf_dir)).withColumnRenamed("score", "r1").join(blocks, "id")
+    return ranks.rank_all(both, ["r1", "r2"]).select("id", ranks.rrf(["r1", "r2"]).alias("fused")).orderBy(F.desc("fused"), "id").limit(100)
 
 
 TFIDF_SQL = f"""{POOL_SQL}, {_W}, sd AS (SELECT item_id AS seed, {tokens_sql('text')} AS tok FROM benchmark WHERE item_id < 5),
@@ -170,9 +169,8 @@ od AS (SELECT id, fused, row_number() OVER (ORDER BY fused DESC, id) AS position
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, fused, position): a whole pool in fused order of BM25 and title length."""
     p = pool(spark, sf_dir)
-    one = ranks.mean_ranks(signals.bm25(signals.whole(p), query_words(spark, sf_dir)), "score", "r1").select("id", "r1")
-    two = ranks.mean_ranks(p.select("id", F.length("title").cast("double").alias("s")), "s", "r2").select("id", "r2")
-    return ranks.positions(one.join(two, "id").select("id", ranks.rrf(["r1", "r2"]).alias("fused")), "fused", "id")
+    both = signals.bm25(signals.whole(p), query_words(spark, sf_dir)).withColumnRenamed("score", "r1").join(p.select("id", F.length("title").alias("r2")), "id")
+    return ranks.positions(ranks.rank_all(both, ["r1", "r2"]).select("id", ranks.rrf(["r1", "r2"]).alias("fused")), "fused", "id")
 
 
 @query("f2_fused_positions", f"WITH {RANKED_SQL} SELECT id, fused, position FROM od")
