@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.operators import composed as C, signals
+from gleanery.operators import composed as C, evidence, passage_index, signals
 from gleanery.plans.ranking import _W, BLOCKS_SQL, _blocks, _bm25_sql, mean_sql, query_words
 from gleanery.registry import query
-from gleanery.sources.tables import pool, read
+from gleanery.sources.tables import pool, read, tokens_sql
 from gleanery.stage import stored
 
 #: The verified seeds, and which of them came as a PDF.
@@ -95,3 +95,29 @@ def j12_replayed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A frozen pool replayed: all signals, a second graph pass, citation counts and the reorder behind the head."""
     r = stored(records(spark, sf_dir), "manifest")
     return C.replay(r, verified(r), question(spark, sf_dir), similarities(spark, sf_dir))
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(passage_id, source, text): the documents' passages of fixed length."""
+    docs = read(spark, sf_dir, "documents")
+    cut = evidence.fixed_passages(docs).join(docs.select("doc_id", "source"), "doc_id")
+    return cut.select((F.col("doc_id") * 100_000 + F.col("chunk_no")).alias("passage_id"), "source", F.col("chunk").alias("text"))
+
+
+_PASSAGES_SQL = f"""ps AS (SELECT doc_id * 100000 + i AS id, source, {tokens_sql('substr(text, CAST(i * 1400 + 1 AS INT), 1400)')} AS tok FROM (SELECT doc_id, source, text, unnest(range(0, (greatest(length(text), 1) + 1399) // 1400)) AS i FROM documents)),
+ls AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(tok)) AS av FROM ps),
+tf AS (SELECT id, source, dl, term, count(*) AS tf FROM (SELECT id, source, len(tok) AS dl, unnest(tok) AS term FROM ps) GROUP BY ALL),
+idf AS (SELECT term, greatest(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM tf, ls GROUP BY term),
+qs AS (SELECT DISTINCT item_id AS query, unnest({tokens_sql('text')}) AS term FROM benchmark),
+sc AS (SELECT query, id, source, round(sum(idf * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)))), 9) AS score FROM qs JOIN idf USING (term) JOIN tf USING (term), ls GROUP BY query, id, source)"""
+
+
+@query(
+    "j2_passage_search",
+    f"WITH {_PASSAGES_SQL}, lm AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) AS k FROM sc) SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place, id, round(score, 6) AS score FROM lm WHERE k <= 3 QUALIFY place <= 10",
+)
+def j2_passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a query over all passages: the best ten, at most three of a source."""
+    index = passage_index.build(passages(spark, sf_dir))
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return passage_index.search(index, queries, k=10, per_source=3).hits.select("query", F.col("place").cast("long").alias("place"), "id", F.round("score", 6).alias("score"))
