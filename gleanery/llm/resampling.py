@@ -122,12 +122,14 @@ def resample(
     Of the N documents with at least ``min_words`` words, floor(percent * N / 100) are drawn."""
     raw = bucket_counts(docs, text_col, orders, buckets, "s")
     known = gains(raw, bucket_counts(target, target_text_col, orders, buckets, "t"), buckets)
-    weighed = weigh(docs, known, orders, buckets, seed, id_col, text_col)
-    weighed = weighed.withColumn("short", F.col("n_words") < min_words).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    # Stored before it is dealt to ranges: their sampling would read the texts once more.
+    weighed = materialize(weigh(docs, known, orders, buckets, seed, id_col, text_col), "resampling-sums")
+    placed = weighed.withColumn("short", F.col("n_words") < min_words).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
     order = ["short", F.desc("score"), F.asc_nulls_last("id"), "salt"]
     ranges = max(RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = materialize(weighed.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "resampling-weights")
+    dealt = materialize(placed.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "resampling-weights")
     discard(known)
+    discard(weighed)
     sizes = sorted((r["part"], r["n"]) for r in dealt.filter("NOT short").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a range
     draw, run, offsets = percent * sum(n for _, n in sizes) // 100, 0, {}
     for part, n in sizes:
