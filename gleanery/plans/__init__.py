@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text_scalars", "ranking", "relational", "evidence_queries", "streams", "selection_queries", "decision_queries", "identity_queries", "record_queries", "composed_queries")
+MODULES: tuple[str, ...] = ("text_scalars", "ranking", "relational", "evidence_queries", "streams", "selection_queries", "decision_queries", "identity_queries", "record_queries", "composed_queries", "bibliography_queries")
 
 
 def load() -> None:

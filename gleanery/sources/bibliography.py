@@ -348,6 +348,7 @@ def bibtex_text(key: Column, title: Column, authors: Column, year: Column, **fie
     def safe(value: Column) -> Column:
         spelled = F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\u0001")), F.lit("{"), F.lit("\u0002")), F.lit("}"), F.lit("\u0003"))
         escaped = F.regexp_replace(F.regexp_replace(spelled, _SPECIAL, r"\\$1"), "~", r"\\textasciitilde{}")
+        escaped = F.regexp_replace(escaped, "([-`'])(?=\\1)", "$1{}")  # no dash and no quotation mark is made of two signs
         return F.replace(F.replace(F.replace(escaped, F.lit("\u0001"), F.lit("\\textbackslash{}")), F.lit("\u0002"), F.lit("\\{")), F.lit("\u0003"), F.lit("\\}"))
 
     own = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"  {name} = {{"), c, F.lit("}")))

@@ -146,7 +146,7 @@ def test_any_partition_size_gives_the_same_rows(spark, tmp_path):
 
 
 def test_tables_there_and_back(spark, tmp_path):
-    titles = ["Plain", "50% of {braces} & more_", "back\\slash ~ tilde", "Ünïcode — dash", "$ 5 # 6"]
+    titles = ["Plain", "50% of {braces} & more_", "back\\slash ~ tilde", "Ünïcode — dash", "$ 5 # 6", "a--b ``c'' d --- e"]
     df = spark.createDataFrame([(f"k{i}", t, ["Ann Lee", "Bo Ek"], 1990 + i, f"10.1234/x_{i}") for i, t in enumerate(titles)], "key string, title string, authors array<string>, year int, doi string")
     B.write_texts(df.select(B.bibtex_text(F.col("key"), F.col("title"), F.col("authors"), F.col("year"), doi=F.col("doi"))), str(tmp_path / "bib"))
     B.write_texts(df.select(B.ris_text(F.col("key"), F.col("title"), F.col("authors"), F.col("year"), DO=F.col("doi"))), str(tmp_path / "ris"))
