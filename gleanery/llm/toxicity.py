@@ -1,18 +1,26 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the lower-cased words of a text and their first three to six letters, hashed to ``SLOTS``
-slots; presence counts, not frequency. Every term has a weight and factors: none is chosen beforehand.
-Training takes at most ``max_rows`` labelled rows (a documented bound; the rows of smallest hash). It first
-fits bias and weights by accelerated proximal steps, each weight under an L1 penalty in proportion to the
-noise of its term's gradient, so that frequent and rare terms are judged alike; then factors by stochastic
-steps and weights by further proximal ones, in turns. A pair's product is divided by the number of terms,
-which keeps long texts from summing the chance products of many pairs. The model has SLOTS * (FACTORS + 1)
-numbers whatever the input and is broadcast; scoring reads whole texts, a batch at a time.
+Terms are the lower-cased words of a text and their first three to six letters, hashed to ``SLOTS`` slots;
+presence counts, not frequency. A text's logit is a bias, the weights of its terms and the inner products of the
+factors of all its pairs of terms. Training takes at most ``max_rows`` labelled rows (a documented bound; the rows of
+smallest hash).
+
+Weights come first, by accelerated proximal steps, each under an L1 penalty in proportion to the noise of its term's
+gradient, so that frequent and rare terms are judged alike. Factors then learn what the weights leave over. What two
+terms say together is the mean of residual times both terms, centred and scaled, a matrix over all pairs of terms; random
+projections of it give the size of every row, so every term that occurs often enough is judged and none is chosen
+beforehand. Among the ``ACTIVE`` terms of largest rows the matrix is exact; entries within the noise of that many
+pairs count as nothing, its leading eigenvectors start the factors, and gradient steps fit factors and weights of these
+terms together. Terms outside keep factors of zero. A held-back fifth of the rows decides whether the factors stay: where
+they do not lower its loss, all are zero. Factors are neither divided by the length of a text nor decayed, so a pair counts the
+same among 20 terms and among 500.
+
+The model has SLOTS * (FACTORS + 1) numbers whatever the input and is broadcast; scoring reads whole texts, a batch at a time.
 
 Only the text makes a score. Defined results: a null or empty text scores as one without terms; rows
 whose label is null are not learned from; repeated label rows count once, toxic if any says so, and
-so do the terms of rows that share an id; without any label of both kinds the score is 0 for all; repeated rows each get their own row; other columns are
-ignored by ``score`` and kept by ``drop_toxic``.
+so do the terms of rows that share an id; without any label of both kinds the score is 0 for all; repeated rows each get
+their own row; other columns are ignored by ``score`` and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -33,16 +41,12 @@ from ._common import free_name, materialize, tune
 MAX_ROWS, SLOTS, FACTORS = 12_000, 1 << 18, 8
 #: Strength of the penalty in units of a gradient's noise, and proximal steps.
 PENALTY, STEPS = 0.5, 30
-#: Turns of factors and weights; stochastic steps of a turn, rows in each, their rate; proximal steps of a turn.
-TURNS, PAIR_STEPS, BATCH, RATE, MORE_STEPS = 10, 50, 192, 0.05, 3
 #: Rows whose terms are unrolled at once while fitting: bounds the driver's memory.
 SPAN = 1024
-#: Products are small beside weights, so factors take longer steps.
-SCALE = 80.0
-#: Spread of the factors at the start.
-START = 0.3
-#: Decay of factors: pairs whose joint effect is weaker than this do not grow.
-SHRINK = 2e-3
+#: Rows that hold a term at least before it can have factors, terms that can at most, random projections that judge them.
+LEAST_ROWS, ACTIVE, PROJECTIONS = 20, 512, 24
+#: Gradient steps on the factors, their rate, and the ridge on factors and weights.
+FACTOR_STEPS, RATE, RIDGE = 300, 0.03, 1e-4
 PREFIXES = (3, 4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -79,12 +83,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class FactorizationMachine:
-    """Logit = bias + weights of present terms + inner products of their factors, pair by pair, over the
-    number of terms."""
+    """Logit = bias + weights of present terms + inner products of their factors, pair by pair."""
 
     def __init__(self, terms: np.ndarray | int = SLOTS, seed: int = 3):
         self.slots = terms if isinstance(terms, int) else len(terms)
         self.seed = seed
+        self.active: np.ndarray | None = None
         self.p = {"b": np.zeros(1), "w": np.zeros(self.slots), "V": np.zeros((self.slots, FACTORS), np.float32, order="F")}
 
     def locate(self, ids: np.ndarray) -> np.ndarray:
@@ -98,18 +102,20 @@ class FactorizationMachine:
         if some:
             at, n = np.concatenate([rows[i] for i in some]), np.array([len(rows[i]) for i in some])
             cut = np.cumsum(n) - n
-            out[some] += np.add.reduceat(self.p["w"][at], cut) + self._pairs(self.p["V"], at, cut, n)[0]
+            out[some] += np.add.reduceat(self.p["w"][at], cut) + self._pairs(at, n)
         return out
 
-    @staticmethod
-    def _pairs(V: np.ndarray, at: np.ndarray, cut: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The pair term of each row, and the sums of its factors, one factor at a time."""
-        total, sums = np.zeros(len(n)), []
-        for k in range(V.shape[1]):
-            v = V[:, k][at]
-            sums.append(np.add.reduceat(v, cut))
-            total += sums[-1] * sums[-1] - np.add.reduceat(v * v, cut)
-        return 0.5 * total / n, sums
+    def _pairs(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The pair term of each row, from the few terms that have factors: half of the squared sum less the sum of squares."""
+        if self.active is None:
+            self.active = self.p["V"].any(1)
+        row, has = np.repeat(np.arange(len(n)), n), self.active[at]
+        row, v = row[has], self.p["V"][at[has]].astype(np.float64)
+        total = np.zeros(len(n))
+        for k in range(v.shape[1] if len(row) else 0):
+            sums = np.bincount(row, v[:, k], len(n))
+            total += sums * sums - np.bincount(row, v[:, k] * v[:, k], len(n))
+        return 0.5 * total
 
     def logit(self, at: np.ndarray) -> float:
         return float(self.logits([at])[0])
@@ -120,14 +126,13 @@ class FactorizationMachine:
     def score(self, text: str | None) -> float:
         return float(self.scores([text])[0])
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int | None = None, rate: float = RATE) -> None:
-        """``rows``: distinct slots; ``epochs`` replaces the number of stochastic steps by passes."""
+    def fit(self, rows: list[np.ndarray], y: np.ndarray) -> None:
+        """``rows``: distinct slots."""
         at = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        self.fit_flat(at.astype(np.int32), np.array([len(r) for r in rows], np.int64), y, epochs, rate)
+        self.fit_flat(at.astype(np.int32), np.array([len(r) for r in rows], np.int64), y)
 
-    def fit_flat(self, at: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int | None = None, rate: float = RATE) -> None:
+    def fit_flat(self, at: np.ndarray, n: np.ndarray, y: np.ndarray) -> None:
         """The slots of all rows one after the other, and how many each row has."""
-        rng = np.random.default_rng(self.seed)
         y, n = y[n > 0], n[n > 0]
         mean = y.mean() if len(y) else 0.0
         self.p["b"][0] = np.log((mean + 1e-6) / (1 - mean + 1e-6))
@@ -138,12 +143,7 @@ class FactorizationMachine:
         share = np.bincount(at, minlength=self.slots) / len(n)
         penalty = PENALTY * np.sqrt(share * (1 - share) * mean * (1 - mean) / len(n)) + 1e-12
         self._fit_weights(at, n, cut, spans, y, penalty, np.zeros(len(n)), STEPS)
-        self.p["V"][share > 0] = rng.normal(size=(int((share > 0).sum()), FACTORS)) * START
-        steps = epochs * max(1, len(n) // BATCH) // TURNS + 1 if epochs else PAIR_STEPS
-        for _ in range(TURNS):
-            self._fit_pairs(at, n, cut, y, steps, rate, rng)
-            pairs = [self._pairs(self.p["V"], self._slots_of(at, n, cut, k), cut[k] - cut[k.start], n[k])[0] for k in spans]
-            self._fit_weights(at, n, cut, spans, y, penalty, np.concatenate(pairs), MORE_STEPS)
+        self._fit_factors(at, n, cut, y, share)
 
     @staticmethod
     def _slots_of(at: np.ndarray, n: np.ndarray, cut: np.ndarray, k: slice) -> np.ndarray:
@@ -164,25 +164,88 @@ class FactorizationMachine:
             b[0] -= 2 * d.sum()
         self.p["w"] = w
 
-    def _fit_pairs(self, at: np.ndarray, n: np.ndarray, cut: np.ndarray, y: np.ndarray, steps: int, rate: float, rng: np.random.Generator) -> None:
-        """Stochastic gradient steps on the factors."""
-        w, V, b = self.p["w"], self.p["V"], self.p["b"]
-        order = np.empty(0, np.int64)
-        for _ in range(steps):
-            if len(order) < min(BATCH, len(n)):
-                order = rng.permutation(len(n))
-            pick, order = order[:BATCH], order[BATCH:]
-            m = n[pick]
-            seg = np.cumsum(m) - m
-            t = at[np.repeat(cut[pick] - seg, m) + np.arange(m.sum())]
-            pair, sums = self._pairs(V, t, seg, m)
-            d = (_sigmoid(b[0] + np.add.reduceat(w[t], seg) + pair) - y[pick]) / len(pick) / m
-            each, lr = np.repeat(d, m), SCALE * rate
-            for k in range(FACTORS):
-                v = V[:, k]
-                grad = np.bincount(t, (np.repeat(sums[k], m) - v[t]) * each, self.slots)
-                v *= np.float32(1 - lr * SHRINK)
-                v -= (lr * grad).astype(np.float32)
+    def _fit_factors(self, at: np.ndarray, n: np.ndarray, cut: np.ndarray, y: np.ndarray, share: np.ndarray) -> None:
+        """Factors of the terms that say something together, and what they change in bias and weights."""
+        linear = self.p["b"][0] + np.add.reduceat(self.p["w"][at], cut)
+        rng, rows = np.random.default_rng(self.seed), np.repeat(np.arange(len(n)), n)
+        often = (share * len(n) >= LEAST_ROWS) & (share < 1)
+        fit = rng.random(len(n)) < 0.8
+        picked = self._strong_terms(at, rows, linear, y, share, often, fit, rng)
+        if len(picked) < 2:
+            return
+        place = np.full(self.slots, -1)
+        place[picked] = np.arange(len(picked))
+        inside = place[at] >= 0
+        spread = np.sqrt(share[picked] * (1 - share[picked]))
+        z = np.tile((-share[picked] / spread).astype(np.float32), (len(n), 1))
+        z[rows[inside], place[at[inside]]] += (1 / spread).astype(np.float32)[place[at[inside]]]
+        trial = _factors(z[fit], linear[fit], y[fit], often.sum(), rng)
+        if trial is None or _loss(_centred(z[~fit], linear[~fit], *trial), y[~fit]) >= _loss(linear[~fit], y[~fit]) - 1e-3:
+            return
+        bias, weights, V = _factors(z, linear, y, often.sum(), rng) or trial
+        V = V / spread[:, None]
+        base = share[picked] @ V  # centred terms are terms less their share: the difference goes to weights and bias
+        self.p["V"][picked] = V
+        self.p["w"][picked] += weights / spread - V @ base + share[picked] * (V * V).sum(1)
+        self.p["b"][0] += bias - share[picked] @ (weights / spread) + 0.5 * (base @ base - ((share[picked, None] * V) ** 2).sum())
+        self.active = None
+
+    def _strong_terms(self, at: np.ndarray, rows: np.ndarray, linear: np.ndarray, y: np.ndarray, share: np.ndarray, often: np.ndarray, fit: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """The terms whose rows of the matrix are largest, by random projections of all of it."""
+        keep = often[at] & fit[rows]
+        slots, t = np.unique(at[keep], return_inverse=True)
+        if len(slots) <= ACTIVE:
+            return slots
+        r, s = rows[keep], share[slots]
+        scale, left = 1 / np.sqrt(s * (1 - s)), (y - _sigmoid(linear)) * fit
+        size = np.zeros(len(slots))
+        own = scale**2 * (np.bincount(t, left[r], len(slots)) * (1 - 2 * s) + s * s * left.sum())  # the matrix's diagonal
+        for _ in range(PROJECTIONS):
+            g = rng.choice((-1.0, 1.0), len(slots))
+            seen = np.bincount(r, (g * scale)[t], len(y)) - (g * scale) @ s
+            said = seen * left
+            size += ((np.bincount(t, said[r], len(slots)) - s * said.sum()) * scale - own * g) ** 2
+        return slots[np.sort(np.argsort(size, kind="stable")[-ACTIVE:])]
+
+
+def _loss(logits: np.ndarray, y: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, logits) - y * logits)) if len(y) else 0.0
+
+
+def _centred(z: np.ndarray, linear: np.ndarray, bias: float, weights: np.ndarray, V: np.ndarray) -> np.ndarray:
+    """Logits over centred terms."""
+    pairs = 0.5 * ((z @ V) ** 2 - (z * z) @ (V * V)).sum(1)
+    return linear + bias + z @ weights + pairs
+
+
+def _factors(z: np.ndarray, linear: np.ndarray, y: np.ndarray, terms: int, rng: np.random.Generator) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """Bias, weights and factors of centred terms; null where no pair stands out from the noise of all pairs of ``terms``."""
+    left = (y - _sigmoid(linear)).astype(np.float32)
+    together = (z * left[:, None]).T @ z / len(y)
+    np.fill_diagonal(together, 0)
+    noise = np.sqrt(2 * np.log(max(2.0, terms * terms / 2)) * np.mean(left**2) / len(y))
+    together = np.sign(together) * np.maximum(np.abs(together) - noise, 0)
+    if not together.any():
+        return None
+    values, vectors = np.linalg.eigh(together)
+    V = np.zeros((z.shape[1], FACTORS))
+    V[:, : min(FACTORS, len(values))] = (vectors * np.sqrt(np.maximum(values, 0)))[:, ::-1][:, :FACTORS]
+    on = np.abs(V).max(1) > 0.05 * np.abs(V).max()
+    V[~on] = 0
+    zo, squares = z[:, on].astype(np.float64), (z[:, on] ** 2).astype(np.float64)
+    p = {"b": np.zeros(1), "w": np.zeros(on.sum()), "V": V[on]}
+    first, second = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+    for step in range(1, FACTOR_STEPS + 1):
+        sums = zo @ p["V"]
+        d = (_sigmoid(linear + p["b"] + zo @ p["w"] + 0.5 * (sums**2 - squares @ p["V"] ** 2).sum(1)) - y) / len(y)
+        grads = {"b": d.sum(keepdims=True), "w": zo.T @ d + RIDGE * p["w"], "V": zo.T @ (d[:, None] * sums) - (squares.T @ d)[:, None] * p["V"] + RIDGE * p["V"]}
+        for k, g in grads.items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            p[k] = p[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    weights = np.zeros(z.shape[1])
+    weights[on], V[on] = p["w"], p["V"]
+    return float(p["b"][0]), weights, V
 
 
 def held_out(id_: Column) -> Column:
