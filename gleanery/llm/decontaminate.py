@@ -4,8 +4,9 @@ Words are runs outside ASCII separators after lower-casing A-Z. A window is ``wi
 words of an item; an item of fewer words is one window of its own length. Training texts are scanned
 window by window against the broadcast hashes; a hash hit is verified word by word before it counts.
 
-The broadcast holds 16 bytes a window plus the item words; ``max_windows`` bounds it and a larger
-benchmark is refused rather than sent.
+The broadcast is a few arrays: of every distinct window its hash, where its words begin in one run of bytes
+that holds all items, and the items that have it, 20 to 30 bytes a window with the words. ``max_windows`` bounds it
+and a larger benchmark is refused rather than sent.
 
 Defined results: a null or wordless text has no words and no hits; a wordless item never occurs;
 items of equal text all count; repeated rows each get their own row; an empty benchmark gives zero
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import free_name, tune
 
-#: Windows of a benchmark that may be broadcast: about 100 MB with their words.
+#: Windows of a benchmark that may be broadcast: about 60 MB with their words.
 MAX_WINDOWS = 2_000_000
 
 #: Words before lower-casing, for Spark's regular expressions.
@@ -62,21 +63,59 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+class Windows:
+    """The distinct windows of one width, sorted by hash: ``hashes``, the bytes from ``starts`` to ``ends`` that verify a hit, and
+    the items behind window k, ``items[first[k]:first[k + 1]]``."""
+
+    def __init__(self, text: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray):
+        order = np.lexsort((items, hashes))
+        hashes, starts, ends, items = hashes[order], starts[order], ends[order], items[order]
+        fresh = np.ones(len(hashes), bool)
+        same = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+        sizes = ends - starts
+        for k in same.tolist():  # equal hashes are equal windows but for a collision, which stays a window of its own
+            fresh[k] = sizes[k] != sizes[k - 1] or text[starts[k] : ends[k]] != text[starts[k - 1] : ends[k - 1]]
+        at = np.flatnonzero(fresh)
+        self.hashes, self.starts, self.ends, self.items = hashes[at], starts[at], ends[at], items
+        self.first = np.append(at, len(items)).astype(np.int32)
+
+    def found(self, text: bytes, h: int, k: int, words: list[bytes]) -> list[int]:
+        """The items that have the window ``words``; ``k`` is the first place of its hash."""
+        out: list[int] = []
+        whole = b" ".join(words)
+        while k < len(self.hashes) and int(self.hashes[k]) == h:
+            if text[self.starts[k] : self.ends[k]] == whole:
+                out += self.items[self.first[k] : self.first[k + 1]].tolist()
+            k += 1
+        return out
+
+
 class Benchmark:
-    """The broadcast: for each width a sorted array of window hashes, and the windows behind each hash."""
+    """The broadcast: the normalised words of all items as one run of bytes, and the windows of each width."""
 
     def __init__(self, items: list[tuple[object, str | None]], width: int):
         self.hash = _WordHashes()
-        at: dict[int, dict[int, dict[tuple[bytes, ...], set[str]]]] = {}
+        self.names, parts, size = [], [], 0
+        made: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
         for item, text in items:
             words = words_of(text)
             w = min(width, len(words))
-            if w:
-                h = window_hashes(np.array([self.hash[x] for x in words], np.uint64), w)
-                for i, x in enumerate(h.tolist()):
-                    at.setdefault(w, {}).setdefault(x, {}).setdefault(tuple(words[i : i + w]), set()).add(str(item))
-        self.at = at
-        self.sorted = {w: np.array(sorted(x), np.uint64) for w, x in at.items()}
+            if not w:
+                continue
+            lengths = np.array([len(x) for x in words])
+            ends = size + np.cumsum(lengths + 1) - 1
+            h = window_hashes(np.array([self.hash[x] for x in words], np.uint64), w)
+            made.setdefault(w, []).append((h, (ends - lengths)[: len(h)].astype(np.int32), ends[w - 1 :].astype(np.int32), np.full(len(h), len(self.names), np.int32)))
+            self.names.append(str(item))
+            parts.append(b" ".join(words))
+            size = int(ends[-1]) + 1
+        self.text = b" ".join(parts)
+        self.at = {w: Windows(self.text, *map(np.concatenate, zip(*rows))) for w, rows in made.items()}
+        self.hash.clear()
+
+    def nbytes(self) -> int:
+        """Bytes of the text and the arrays."""
+        return len(self.text) + sum(a.nbytes for x in self.at.values() for a in (x.hashes, x.starts, x.ends, x.items, x.first))
 
     def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str]]:
         """Words, a mask of hit words, and the items that occur."""
@@ -84,15 +123,15 @@ class Benchmark:
         hit, items = np.zeros(len(words), bool), set()
         if words:
             hashes = np.array(list(map(self.hash.__getitem__, words)), np.uint64)
-            for w, known in self.sorted.items():
-                found = window_hashes(hashes, w)
-                if len(found):
-                    k = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    for i in np.flatnonzero(known[k] == found).tolist():
-                        if got := self.at[w][int(found[i])].get(tuple(words[i : i + w])):
+            for w, known in self.at.items():
+                seen = window_hashes(hashes, w)
+                if len(seen):
+                    k = np.searchsorted(known.hashes, seen)
+                    for i in np.flatnonzero(known.hashes[np.minimum(k, len(known.hashes) - 1)] == seen).tolist():
+                        if got := known.found(self.text, int(seen[i]), int(k[i]), words[i : i + w]):
                             hit[i : i + w] = True
-                            items |= got
-        return len(words), hit, items
+                            items.update(got)
+        return len(words), hit, {self.names[i] for i in items}
 
 
 def load_benchmark(benchmark: DataFrame, width: int, id_col: str, text_col: str, max_windows: int):

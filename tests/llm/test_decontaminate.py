@@ -1,3 +1,4 @@
+import pickle
 import random
 import re
 
@@ -59,3 +60,21 @@ def test_empty_tables_and_the_bound(spark):
         assert "2 windows" in str(e)
     else:
         raise AssertionError("a large benchmark was sent")
+
+
+def test_the_broadcast_takes_under_forty_bytes_a_window():
+    rng = random.Random(5)
+    voc = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    known = decontaminate.Benchmark([(i, " ".join(rng.choice(voc) for _ in range(200))) for i in range(500)], 10)
+    windows = sum(len(x.hashes) for x in known.at.values())
+    assert windows > 95_000 and known.nbytes() < 40 * windows and len(pickle.dumps(known, 5)) < 40 * windows
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    """With every hash equal, only the words decide."""
+    monkeypatch.setattr(decontaminate, "window_hashes", lambda h, w: decontaminate.np.zeros(max(0, len(h) - w + 1), decontaminate.np.uint64))
+    items = [(1, "a b c"), (2, "a b d"), (3, "b c a b"), (4, "a b c")]
+    known = decontaminate.Benchmark(items, 3)
+    for text in ("x a b c", "a b d", "a b", "b c a b c", "c a b"):
+        n, hit, got = known.scan(text)
+        assert (n, int(hit.sum()), sorted(got)) == brute(text, items, 3)
