@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import identity as I
+from gleanery.operators import identity as I, merges
 from gleanery.plans.text_scalars import grams_sql, norm_sql
 from gleanery.registry import query
 from gleanery.sources.tables import POOL_SQL, pool, read
@@ -100,3 +100,42 @@ def k8_import_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An imported entry beside its record: title written in capitals, years zero or two apart, some titles missing."""
     p = pool(spark, sf_dir).select("id", F.when(F.col("id") % 5 != 0, F.upper("title")).alias("title_a"), F.col("title").alias("title_b"), F.lit(2000).alias("year_a"), F.when(F.col("id") % 3 == 0, 2002).otherwise(2000).alias("year_b"))
     return p.select("id", I.title_year_agreement(p).alias("agreement"))
+
+
+@query(
+    "i9_works_after_undo",
+    f"""WITH {POOL_SQL}, ky AS (SELECT id, substr({norm_sql('title')}, 1, 12) AS key FROM pool), st AS (SELECT min(id) OVER (PARTITION BY key) AS c, id FROM ky WHERE key <> ''),
+lf AS (SELECT c, id, id % 4 = 1 AS pub, c % 4 = 1 AS held FROM st WHERE id <> c AND id % 7 <> 0),
+ok AS (SELECT c, id FROM lf WHERE NOT pub OR (NOT held AND id = (SELECT min(x.id) FROM lf x WHERE x.c = lf.c AND x.pub))),
+mm AS (SELECT c, id FROM ok UNION ALL SELECT DISTINCT c, c FROM ok),
+wk AS (SELECT c, min(CASE WHEN id % 4 = 1 THEN 0 ELSE 1 END * 1000000000000 + (2000 + id % 9) * 100000000 + id) AS k FROM mm GROUP BY c)
+SELECT id, coalesce((SELECT CAST(k % 100000000 AS BIGINT) FROM mm JOIN wk USING (c) WHERE mm.id = pool.id), id) AS work FROM pool""",
+)
+def i9_works_after_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records linked to the first of their opening, in order of their ids, every seventh link undone later; published records stay apart."""
+    r = records(spark, sf_dir).select("id", "doi", (F.col("id") % 4 == 1).alias("published"), "year")
+    state = merges.begin(r.select("id", "doi", "published", F.col("year").alias("created")))
+    links = _star(spark, sf_dir).select(F.col("b").alias("seq"), "a", "b", F.lit("merge").alias("op"))
+    state = merges.advance(state, links)
+    undone = links.filter("b % 7 = 0").withColumn("op", F.lit("undo"))
+    return merges.advance(state, undone).works.select("id", "work")
+
+
+_NAMED = """nm AS (SELECT id, CASE WHEN id % 8 = 0 THEN 'crossref' ELSE 'semantic_scholar' END AS source, '10.1000/' || (id + 1) AS doi FROM pool WHERE id % 4 = 0 UNION ALL SELECT id, 'crossref', '10.1000/' || (id + 5) FROM pool WHERE id % 12 = 0),
+mp AS (SELECT nm.id AS a, y.id AS b, nm.source FROM nm JOIN rc y ON y.doi = nm.doi)"""
+_EXTERNAL = _JUDGED.replace("FALSE AS external_link", "TRUE AS external_link").replace("ky AS (", f"{_NAMED}, st AS (SELECT a, b FROM mp), unused AS (", 1)
+_EXTERNAL = _EXTERNAL[: _EXTERNAL.index(", st AS (SELECT min(id) OVER")] + _EXTERNAL[_EXTERNAL.index("cp AS (") - 2 :]
+
+
+@query(
+    "k5_external_links",
+    f"""WITH {_EXTERNAL}, v AS (SELECT a, b, {I.rule_sql(1)} AS link_kind, {I.rule_sql(2)} AS rule, {I.rule_sql(3)} AS merge FROM dv)
+SELECT a, b, mp.source, CASE WHEN a % 12 = 0 THEN 'related_suspected' ELSE link_kind END AS link_kind, CASE WHEN a % 12 = 0 THEN 'disagree' WHEN merge THEN 'confirmed' ELSE 'blocked' END AS outcome FROM v JOIN mp USING (a, b) WHERE link_kind IS NOT NULL""",
+)
+def k5_external_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every preprint named beside the next published record by a second source, every third of them beside two."""
+    r = records(spark, sf_dir)
+    source = F.when(F.col("id") % 8 == 0, "crossref").otherwise("semantic_scholar")
+    doi = lambda n: F.concat(F.lit("10.1000/"), (F.col("id") + n).cast("string")).alias("doi")
+    named = r.filter("id % 4 = 0").select("id", source.alias("source"), doi(1)).unionByName(r.filter("id % 12 = 0").select("id", F.lit("crossref").alias("source"), doi(5)))
+    return merges.external_links(r, named).select("a", "b", "source", "link_kind", "outcome")

@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from gleanery.stage import fresh
 
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str = "events", files_at_once: int = 8) -> DataFrame:
-    """The table as a stream; its time column is made a TIMESTAMP, which watermarks need."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_at_once: int = 8) -> DataFrame:
+    """A table, one file or a folder of files, as a stream."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once)
-    folder = source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if spark.read.format("binaryFile").load(path).limit(2).count() == 1 else source.parquet(path)
-    return folder.withColumn("ts", F.col("ts").cast("timestamp"))
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once)
+    single = spark.read.format("binaryFile").load(path).limit(2).count() == 1
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if single else source.parquet(path)
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str = "events", files_at_once: int = 8) -> DataFrame:
+    """A table with a time column as a stream; its time is made a TIMESTAMP, which watermarks need."""
+    return table_stream(spark, sf_dir, name, files_at_once).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def once_per_id(events: DataFrame, delay: str | None = None) -> DataFrame:
