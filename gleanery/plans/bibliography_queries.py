@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators import evidence, meaning
+from gleanery.operators import drafts, evidence, meaning
 from gleanery.registry import query
 from gleanery.sources import bibliography as B
 from gleanery.sources.tables import POOL_SQL, pool, read
@@ -59,3 +59,39 @@ def m4_covered_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = evidence.sentences(read(spark, sf_dir, "documents")).withColumn("claim", F.col("doc_id") * 1_000_000 + F.col("sentence_no"))
     parts = F.filter(F.split("sentence", ", "), lambda x, i: i % 3 < 2)
     return meaning.coverage(s.select("claim", "sentence", parts.alias("parts")))
+
+
+def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of records as drafts, each with a range of numbers, names with a year and the names before one."""
+    n, year = F.col("id") % 9 + 1, (1990 + F.col("id") % 30).cast("string")
+    words = F.regexp_replace("title", r"[\[\](){}\\.!?]", " ")
+    text = F.concat(words, F.lit(" ["), n.cast("string"), F.lit("]–["), (n + 2).cast("string"), F.lit("] holds (Lee et al., "), year, F.lit("). So "), F.lit("do Kim and Ek ("), year, F.lit(").\n\nReferences\n[1] Lee 2000\n"))
+    return pool(spark, sf_dir).select(F.col("id").alias("draft_id"), text.alias("text"), F.lit(False).alias("latex"))
+
+
+@query(
+    "l5_citation_markers",
+    f"""WITH {POOL_SQL}, y AS (SELECT id, id % 9 + 1 AS n, 1990 + id % 30 AS year FROM pool)
+SELECT id AS draft_id, 'numeric' AS style, n || ',' || (n + 1) || ',' || (n + 2) AS targets FROM y UNION ALL SELECT id, 'author_year', 'Lee et al., ' || year FROM y UNION ALL SELECT id, 'author_year', 'Kim, Ek, ' || year FROM y""",
+)
+def l5_citation_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of three forms in every draft; the reference list holds none."""
+    found = drafts.markers(_drafts(spark, sf_dir))
+    return found.select("draft_id", "style", F.array_join(F.col("targets.value"), ",").alias("targets"))
+
+
+@query(
+    "d14_resolved_citations",
+    f"""WITH {POOL_SQL}, y AS (SELECT id, id % 9 + 1 AS n, 1990 + id % 30 AS year FROM pool), e AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal, 1990 + o_orderkey % 30 AS year, o_orderkey % 3 AS m FROM orders),
+t AS (SELECT id, 'numeric' AS kind, n + k AS num, NULL AS year, n + k || '' AS value FROM y, range(0, 3) r(k) UNION ALL SELECT id, 'etal', NULL, year, 'Lee et al., ' || year FROM y UNION ALL SELECT id, 'two', NULL, year, 'Kim, Ek, ' || year FROM y),
+j AS (SELECT t.id, kind, value, count(e.ordinal) AS c, min(e.ordinal) AS o FROM t LEFT JOIN e ON e.id = t.id AND ((kind = 'numeric' AND e.ordinal = num) OR (kind = 'etal' AND e.year = t.year AND m = 1) OR (kind = 'two' AND e.year = t.year AND m = 2)) GROUP BY ALL)
+SELECT id AS draft_id, value, CASE WHEN c = 1 THEN CAST(o AS INT) END AS ordinal, CASE WHEN c = 1 THEN 'planned' WHEN c = 0 AND kind = 'numeric' THEN 'unresolved' ELSE 'ambiguous' END AS status FROM j""",
+)
+def d14_resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drafts' markers against a bibliography each: orders of a customer as numbered entries by one, three or two authors."""
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    names = F.element_at(F.array(F.array(F.lit("Noor")), F.array(F.lit("Lee"), F.lit("Bo"), F.lit("Cy")), F.array(F.lit("KIM"), F.lit("ek"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    entries = read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("draft_id"), number.alias("ordinal"), F.lit(None).cast("string").alias("key"), number.alias("number"), (1990 + F.col("o_orderkey") % 30).cast("int").alias("year"), F.lit(None).cast("string").alias("suffix"), names.alias("surnames")
+    )
+    return drafts.resolve(drafts.markers(_drafts(spark, sf_dir)), entries).select("draft_id", "value", "ordinal", "status")
