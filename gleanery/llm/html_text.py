@@ -72,7 +72,7 @@ class Block:
         return tuple(out)
 
 
-PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN_DIM = 96, 48, 10, 24
+PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN_DIM = 160, 64, 10, 24
 INPUT = PATH_DIM + WORD_DIM + SHAPE_DIM
 
 
@@ -142,7 +142,10 @@ def _path_tokens(tag: str, attrs: str) -> tuple[str, ...]:
                 if value != "false":
                     out.append("hidden")
             else:
-                out += [f".{x}" for x in _PART.findall(value)]
+                for x in _PART.findall(value):
+                    out.append(f".{x}")
+                    if len(x) > 4:  # "comments", "commentlist" and "comment" have a beginning in common
+                        out.append(f".{x[:4]}*")
     return tuple(out)
 
 
@@ -367,7 +370,16 @@ FOOT = ("footer", "bottom", "colophon", "site-footer", "legal", "copyright")
 SIDE = ("sidebar", "aside", "widget", "related", "recommended", "rail", "trending", "popular")
 ADS = ("ad", "ads", "advert", "sponsored", "promo", "banner-ad", "advertisement", "adslot")
 NOTE = ("cookie", "consent", "notice", "modal", "popup", "newsletter", "gdpr", "alert", "overlay", "subscribe")
-TALK = ("comments", "comment", "discussion", "replies", "respond", "disqus")
+TALK = (
+    "comments", "comment", "discussion", "replies", "respond", "disqus", "comment-list", "commentlist", "comments-area", "comment-section", "reader-comments", "user-comments", "responses",
+    "feedback", "thread", "conversation", "reactions", "opinions", "talk", "guestbook", "disqus_thread", "kommentare", "commentaires", "comentarios", "post-comments", "readers", "discuss",
+)
+REMARK = ("comment", "reply", "comment-body", "response", "message", "remark", "comment-content", "comment-text", "kommentar", "commentaire", "comentario", "media-body", "user-post", "depth-1")
+TALK_HEADS = (
+    "comments", "3 comments", "12 responses", "leave a reply", "join the discussion", "what readers say", "reader comments", "discussion", "5 replies", "leave a comment",
+    "kommentare", "schreibe einen kommentar", "commentaires", "laisser un commentaire", "comentarios", "deja un comentario", "2 thoughts on this post", "your comments",
+)
+TALK_LINES = ("reply", "report", "like", "share", "quote", "says:", "wrote:", "posted by", "log in to reply", "antworten", "répondre", "responder", "permalink", "show more comments")
 BODY = ("content", "post", "entry", "article", "main", "story", "post-body", "entry-content", "text", "article-body")
 
 
@@ -427,9 +439,37 @@ def invent_page(rng: np.random.Generator) -> str:
     def form() -> str:
         return f'<form action="/{word()}"><label>{bad}{words(1, 4, 0.5)}</label><input type="text"><button>{bad}{words(1, 2, 0.5)}</button>' + pick(["", f"<p>{furniture_text()}</p>"]) + "</form>"
 
+    def remark(named: bool) -> str:
+        by = pick(["", f"<p>{bad}{word().capitalize()} {pick(['says:', 'wrote:', '', 'schrieb:', 'a dit :'])}</p>", f"<cite>{bad}{word().capitalize()}</cite>", f"<div><b>{bad}{word()}</b> {int(rng.integers(1, 28))} May 20{int(rng.integers(10, 25))}</div>", f"<h4>{bad}{word().capitalize()}</h4>"])
+        said = pick([f"<p>{bad}{prose()}</p>", f"<p>{bad}{prose()}</p><p>{bad}{prose()}</p>", f"{bad}{prose()}", f"<div>{bad}{prose()}</div>"])
+        after = pick(["", f"<a href='#'>{bad}{pick(TALK_LINES)}</a>", f"<p>{bad}{pick(TALK_LINES)} · {pick(TALK_LINES)}</p>"])
+        tag = pick(("div", "li", "article", "section", "blockquote")) if named else pick(("div", "li", "p", "tr"))
+        inner = f"<td>{by}{said}{after}</td>" if tag == "tr" else f"{by}{said}{after}"
+        return f'<{tag}{attr(REMARK) if named else ""}>{inner}</{tag}>'
+
     def talk() -> str:
-        one = lambda: f'<div class="{pick(("comment", "reply", "comment-body"))}"><p>{bad}{prose()}</p></div>'
-        return wrapped(("div", "section", "ol"), TALK, f"<h3>{bad}{words(1, 3, 0.5)}</h3>" + "".join(one() for _ in range(int(rng.integers(1, 6)))))
+        named = flip(0.75)
+        head = f"<h{pick('2334')}>{bad}{pick(TALK_HEADS).capitalize()}</h3>" if flip(0.85) or not named else f"<h3>{bad}{words(1, 3, 0.5)}</h3>"
+        inner = head + "".join(remark(flip(0.8) if named else False) for _ in range(int(rng.integers(1, 6))))
+        if flip(0.2):
+            inner += f"<form><label>{bad}{pick(TALK_HEADS)}</label><textarea></textarea><button>{bad}{words(1, 2, 0.5)}</button></form>"
+        if not named:
+            return pick([f"<div>{inner}</div>", inner, f"<section>{inner}</section>", f"<table>{inner}</table>"])
+        return wrapped(("div", "div", "section", "ol", "aside"), TALK, inner)
+
+    def teasers() -> str:
+        one = lambda: f'<article{attr(("teaser", "card", "item", "preview"))}><h3>{link()}</h3><p>{bad}{sentence()}</p></article>'
+        return wrapped(("div", "section", "aside"), SIDE + ("more", "latest", "teasers", "recent-posts"), f"<h2>{bad}{words(1, 3, 0.7)}</h2>" + "".join(one() for _ in range(int(rng.integers(2, 5)))))
+
+    def plain(layout: int) -> str:
+        """A page of bare divs or of a layout table: nothing but words, links and order say what is what."""
+        row = lambda inner, more="": f"<tr><td{more}>{inner}</td></tr>" if layout else f"<div>{inner}</div>"
+        menu_cell = pick([" | ".join(link() for _ in range(int(rng.integers(3, 8)))), "<br>".join(link() for _ in range(int(rng.integers(3, 8)))), listing()])
+        foot = pick([f"{bad}&copy; 20{int(rng.integers(10, 25))} {word().capitalize()} {words(0, 4, 0.7)}", f"{bad}Copyright {words(1, 4)}. All rights reserved.", f"{furniture_text()} {link()} {link()}", f"{bad}{words(1, 4, 0.8)} · {words(1, 3, 0.8)}"])
+        parts = [row(f"<h2>{bad}{words(1, 3)}</h2>" if flip(0.4) else f"{bad}{words(1, 4)}") if flip(0.5) else "", row(menu_cell) if flip(0.85) else ""]
+        parts += [f"<tr><td>{menu_cell}</td><td>{inner}</td>" + pick(["", f"<td>{furniture_text()}</td>", f"<td>{listing()}</td>"]) + "</tr>" if layout and flip(0.5) else row(inner)]
+        parts += [row(talk()) if flip(0.4) else "", row(foot) if flip(0.85) else ""]
+        return f"<table{pick(['', ' width=100%', ' border=0'])}>{''.join(parts)}</table>" if layout else "".join(parts)
 
     def part() -> str:
         kind = rng.random()
@@ -456,16 +496,19 @@ def invent_page(rng: np.random.Generator) -> str:
     title = words(2, 9).capitalize()
     inner = (f"<h1>{good}{title}</h1>" if flip(0.85) else "") + "".join(part() for _ in range(int(rng.choice([1, 3, 5, 8, 14]))))
     layout = rng.random()
-    if layout < 0.5:
+    if layout < 0.45:
         body = f"<article{attr(BODY) if flip(0.4) else ''}>{inner}</article>"
-    elif layout < 0.65:
+    elif layout < 0.57:
         body = f"<main><article>{inner}</article></main>"
-    elif layout < 0.78:
+    elif layout < 0.7:
         body = f"<main{attr(BODY)}>{inner}</main>"
     else:
         body = f'<div {pick(["class", "id"])}="{pick(BODY)}">{inner}</div>'
+    if layout > 0.82:
+        whole = plain(int(flip(0.5)))
+        return f"<html><head><title>{title}</title></head><body>{whole}</body></html>"
     before = "".join(f() for f, p in ((notice, 0.2), (header, 0.4), (menu, 0.7), (form, 0.15), (advert, 0.5), (side, 0.15)) if flip(p))
-    after = "".join(f() for f, p in ((advert, 0.2), (talk, 0.3), (side, 0.35), (form, 0.15), (notice, 0.2), (footer, 0.85)) if flip(p))
+    after = "".join(f() for f, p in ((advert, 0.2), (talk, 0.4), (side, 0.3), (teasers, 0.12), (form, 0.15), (notice, 0.2), (footer, 0.85)) if flip(p))
     whole = f"{before}{body}{after}"
     if flip(0.3):
         whole = f'<div class="{pick(("page", "wrapper", "container", "site"))}">{whole}</div>'
@@ -473,7 +516,7 @@ def invent_page(rng: np.random.Generator) -> str:
 
 
 #: Invented pages to train on, passes over them, and pages in a step.
-TRAIN_PAGES, EPOCHS, BATCH = 900, 9, 30
+TRAIN_PAGES, EPOCHS, BATCH = 1100, 9, 30
 
 
 @functools.lru_cache(maxsize=1)
