@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import evidence, ranks
+from gleanery.operators import bootstrap, evidence, ranks
 from gleanery.plans.text_scalars import grams_sql, norm_sql
 from gleanery.registry import query
 from gleanery.sources.tables import POOL_SQL, pool, read, tokens_sql
@@ -299,16 +299,8 @@ def t1_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t2_paired_bootstrap")
 def t2_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 95 % interval of the mean difference of the two labels, over 1,000 seeded resamples.
-
-    A resample weighs every row by a Poisson count drawn from its hash, so it needs no order and no gathering.
-    """
-    d = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).alias("d"))
-    u = (F.pmod(F.xxhash64("doc_id", "s"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    n = sum(((u > c).cast("int") for c in steps), F.lit(0))
-    r = d.select("doc_id", "d", F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("s")).withColumn("n", n).groupBy("s").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("m"))
-    return r.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", 0.975), 6).alias("high"))
+    """The 95 % interval of the mean difference of the two labels, over 10,000 resamples."""
+    return bootstrap.paired(read(spark, sf_dir, "labels").select((F.col("quality") - F.col("toxic")).alias("difference")))
 
 
 @query("t3_precision_at_k", "SELECT lang, count(*) FILTER (quality = 1) AS good, least(20, count(*)) AS k, round(count(*) FILTER (quality = 1) / CAST(least(20, count(*)) AS DOUBLE), 6) AS precision FROM (SELECT lang, quality, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, d.doc_id) AS r FROM documents d LEFT JOIN labels USING (doc_id)) WHERE r <= 20 GROUP BY lang")

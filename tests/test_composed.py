@@ -9,6 +9,9 @@ import pytest
 from gleanery.operators import composed as C
 from gleanery.operators import ranks
 
+
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 SCHEMA = "id long, work_id long, title string, abstract string, own_ids array<string>, references array<string>, cited_by_count long, seed_pdf boolean"
 WORDS = "river stone cloud field paper glass north bridge motor salt".split()
 

@@ -7,6 +7,9 @@ import pytest
 from gleanery.operators import merges as M
 
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
+
 def union_find(records, events):
     """All standing links in order, two published records kept apart."""
     parent = {r[0]: r[0] for r in records}

@@ -9,6 +9,9 @@ import pytest
 
 from gleanery.operators import passage_index as P
 
+
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 WORDS = [f"w{i}" for i in range(120)]
 
 

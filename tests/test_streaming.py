@@ -10,6 +10,9 @@ from gleanery.stage import fresh
 from gleanery.streaming import revisions, watch
 from gleanery.streaming.events import drain
 
+
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 START = datetime(2024, 1, 1)
 HOUR = 3_600_000
 EVENTS = "key long, kind string, item long, ts timestamp"
