@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import drafts, evidence, meaning
 from gleanery.registry import query
-from gleanery.sources import bibliography as B
+from gleanery.sources import bibliography as B, jats
 from gleanery.sources.tables import POOL_SQL, pool, read
 from gleanery.stage import fresh
 
@@ -95,3 +95,19 @@ def d14_resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("draft_id"), number.alias("ordinal"), F.lit(None).cast("string").alias("key"), number.alias("number"), (1990 + F.col("o_orderkey") % 30).cast("int").alias("year"), F.lit(None).cast("string").alias("suffix"), names.alias("surnames")
     )
     return drafts.resolve(drafts.markers(_drafts(spark, sf_dir)), entries).select("draft_id", "value", "ordinal", "status")
+
+
+@query(
+    "a18_jats_blocks",
+    f"""WITH {POOL_SQL} SELECT CAST(id AS VARCHAR) AS article, 'title' AS kind, 'Record ' || id AS text FROM pool UNION ALL SELECT id || '', 'heading', 'Abstract' FROM pool WHERE abstract IS NOT NULL
+UNION ALL SELECT id || '', 'paragraph', abstract FROM pool WHERE abstract <> '' UNION ALL SELECT id || '', 'heading', 'Opening' FROM pool UNION ALL SELECT id || '', 'paragraph', title FROM pool WHERE title <> ''""",
+)
+def a18_jats_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as JATS articles, one a row, read as blocks."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    name = F.col("id").cast("string")
+    front = F.concat(F.lit("<article><front><article-title>Record <b>"), name, F.lit("</b></article-title>"), F.coalesce(F.concat(F.lit("<abstract><p>"), safe(F.col("abstract")), F.lit("</p></abstract>")), F.lit("")), F.lit("</front>"))
+    body = F.concat(F.lit("<body><sec><title>Opening</title><p>"), safe(F.col("title")), F.lit("</p></sec></body></article>"))
+    articles = pool(spark, sf_dir).select(F.encode(F.concat(front, body), "UTF-8").alias("content"), name.alias("path"))
+    found = articles.mapInPandas(jats.parse_rows, jats.SCHEMA)
+    return found.select(F.col("path").alias("article"), "kind", "text")
