@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.stage import stored
+from gleanery.stage import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,15 +15,18 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder and go on until no label changes.
     """
     both = stored(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct(), "edges")
-    labels = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("root", F.col("node")), "labels")
+    before = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("root", F.col("node")), "labels")
     while True:
+        labels = before.select("node", "root")
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("seen"))
         step = labels.join(near, "node", "left").select("node", F.least("root", F.coalesce("seen", "root")).alias("root"), F.col("root").alias("old"))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
         after = stored(step.join(jump, "root").select("node", F.col("up").alias("root"), "old"), "labels")
-        labels = after.select("node", "root")
+        discard(before)
+        before = after
         if after.filter("root <> old").isEmpty():
-            return labels
+            discard(both)
+            return after.select("node", "root")
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators import graph, identity
-from gleanery.stage import stored
+from gleanery.stage import discard, stored
 
 
 @dataclass(frozen=True)
@@ -50,20 +50,26 @@ def _standing(links: DataFrame) -> DataFrame:
 def forest(records: DataFrame, links: DataFrame) -> DataFrame:
     """(id, tree): trees of at most one published record, earliest links first."""
     trees = stored(records.select("id", F.col("id").alias("tree"), "published"), "trees")
-    rest = links
+    rest, old = links, None
     while True:
         side = lambda s: trees.select(F.col("id").alias(s), F.col("tree").alias(f"t{s}"))
         full = trees.groupBy("tree").agg(F.bool_or("published").alias("full"))
         end = lambda s: full.select(F.col("tree").alias(f"t{s}"), F.col("full").alias(f"f{s}"))
         rest = rest.select("a", "b", "seq").join(side("a"), "a").join(side("b"), "b").filter("ta <> tb").join(end("a"), "ta").join(end("b"), "tb").filter("NOT (fa AND fb)")
         rest = stored(rest.select("a", "b", "seq", "ta", "tb", "fa", "fb"), "open-links")
+        if old is not None:
+            discard(old)
+        old = rest
         link = lambda mine, other: rest.filter(~F.col(f"f{mine}")).select(F.col(f"t{mine}").alias("tree"), F.struct("seq", "a", "b", F.col(f"t{other}").alias("to")).alias("link"))
         taken = link("a", "b").unionByName(link("b", "a")).groupBy("tree").agg(F.min("link").alias("link"))
         taken = stored(taken.select(F.col("tree").alias("src"), F.col("link.to").alias("dst")), "links-taken")
         if taken.isEmpty():
+            discard(rest)
             return trees.select("id", "tree")
         joined = graph.components(taken).withColumnRenamed("node", "tree")
-        trees = stored(trees.join(joined, "tree", "left").select("id", F.coalesce("root", "tree").alias("tree"), "published"), "trees")
+        before, trees = trees, stored(trees.join(joined, "tree", "left").select("id", F.coalesce("root", "tree").alias("tree"), "published"), "trees")
+        for done in (before, taken, joined):
+            discard(done)
 
 
 def _computed(records: DataFrame, links: DataFrame) -> DataFrame:

@@ -28,3 +28,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = fresh(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    files = kept.inputFiles()
+    if files:
+        spark = kept.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
