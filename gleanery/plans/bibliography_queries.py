@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators import drafts, evidence, meaning
+from gleanery.functions import text as T
+from gleanery.operators import drafts, evidence, meaning, reference_fields
 from gleanery.registry import query
 from gleanery.sources import bibliography as B, jats
-from gleanery.sources.tables import POOL_SQL, pool, read
+from gleanery.sources.tables import POOL_SQL, pool, read, tokens_sql
 from gleanery.stage import fresh
 
 
@@ -111,3 +112,24 @@ def a18_jats_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = pool(spark, sf_dir).select(F.encode(F.concat(front, body), "UTF-8").alias("content"), name.alias("path"))
     found = articles.mapInPandas(jats.parse_rows, jats.SCHEMA)
     return found.select(F.col("path").alias("article"), "kind", "text")
+
+
+@query(
+    "l4_reference_fields",
+    f"""WITH t AS (SELECT doc_id, source, {tokens_sql("regexp_replace(text, '[0-9]', '', 'g')")} AS w FROM documents)
+SELECT doc_id AS draft_id, 'Lee;Kim' AS surnames, CAST(1950 + doc_id % 70 AS INT) AS year, 'On the flood of ' || w[1] || ' and the ' || w[2] || ' river' AS title, 'Journal of ' || upper(source[1]) || source[2:] AS venue FROM t WHERE len(w) > 1""",
+)
+def l4_reference_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A free reference a document, in three styles by turns, read back as fields."""
+    w = T.words(F.regexp_replace("text", "[0-9]", ""))
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", w.alias("w")).filter(F.size("w") > 1)
+    title = F.concat(F.lit("On the flood of "), F.col("w")[0], F.lit(" and the "), F.col("w")[1], F.lit(" river"))
+    venue, year = F.concat(F.lit("Journal of "), F.upper(F.substring("source", 1, 1)), F.expr("substring(source, 2)")), (1950 + F.col("doc_id") % 70).cast("string")
+    styles = (
+        F.concat(F.lit("Lee, A. B., & Kim, C. ("), year, F.lit("). "), title, F.lit(". "), venue, F.lit(", 12, 34–56.")),
+        F.concat(F.lit("A. B. Lee and C. Kim, “"), title, F.lit(",” "), venue, F.lit(", vol. 12, pp. 34–56, "), year, F.lit(".")),
+        F.concat(F.lit("Lee AB, Kim C. "), title, F.lit(". "), venue, F.lit(". "), year, F.lit(";12:34-56.")),
+    )
+    raw = F.element_at(F.array(*styles), (F.col("doc_id") % 3 + 1).cast("int"))
+    refs = d.select(F.col("doc_id").alias("draft_id"), F.lit(1).alias("ordinal"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("number"), raw.alias("raw"))
+    return reference_fields.read_fields(refs).select("draft_id", F.array_join("surnames", ";").alias("surnames"), "year", "title", "venue")
