@@ -57,7 +57,7 @@ class _TermIds(dict):
     def __missing__(self, word: str) -> bytes:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 80_000:
             self.clear()
         terms = [word] + [f"{word[:n]}*" for n in PREFIXES if len(word) > n]
         ids = self[word] = np.array([xxhash.xxh32_intdigest(t) for t in terms], np.uint32).tobytes()
