@@ -139,7 +139,7 @@ class FactorizationMachine:
         if not len(y):
             return
         cut = np.cumsum(n) - n
-        spans = [slice(i, min(i + SPAN, len(n))) for i in range(0, len(n), SPAN)]  # rows that are unrolled at once
+        spans = _spans(len(n))
         share = np.bincount(at, minlength=self.slots) / len(n)
         penalty = PENALTY * np.sqrt(share * (1 - share) * mean * (1 - mean) / len(n)) + 1e-12
         self._fit_weights(at, n, cut, spans, y, penalty, np.zeros(len(n)), STEPS)
@@ -166,16 +166,16 @@ class FactorizationMachine:
 
     def _fit_factors(self, at: np.ndarray, n: np.ndarray, cut: np.ndarray, y: np.ndarray, share: np.ndarray) -> None:
         """Factors of the terms that say something together, and what they change in bias and weights."""
-        linear = self.p["b"][0] + np.add.reduceat(self.p["w"][at], cut)
-        rng, rows = np.random.default_rng(self.seed), np.repeat(np.arange(len(n)), n)
+        linear = self.p["b"][0] + np.concatenate([np.add.reduceat(self.p["w"][self._slots_of(at, n, cut, k)], cut[k] - cut[k.start]) for k in _spans(len(n))])
+        rng, rows = np.random.default_rng(self.seed), np.repeat(np.arange(len(n), dtype=np.int32), n)
         often = (share * len(n) >= LEAST_ROWS) & (share < 1)
         fit = rng.random(len(n)) < 0.8
         picked = self._strong_terms(at, rows, linear, y, share, often, fit, rng)
         if len(picked) < 2:
             return
-        place = np.full(self.slots, -1)
+        place = np.full(self.slots, -1, np.int32)
         place[picked] = np.arange(len(picked))
-        inside = place[at] >= 0
+        inside = np.flatnonzero(place[at] >= 0)
         spread = np.sqrt(share[picked] * (1 - share[picked]))
         z = np.tile((-share[picked] / spread).astype(np.float32), (len(n), 1))
         z[rows[inside], place[at[inside]]] += (1 / spread).astype(np.float32)[place[at[inside]]]
@@ -192,22 +192,35 @@ class FactorizationMachine:
 
     def _strong_terms(self, at: np.ndarray, rows: np.ndarray, linear: np.ndarray, y: np.ndarray, share: np.ndarray, often: np.ndarray, fit: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """The terms whose rows of the matrix are largest, by random projections of all of it."""
-        keep = often[at] & fit[rows]
-        slots, t = np.unique(at[keep], return_inverse=True)
+        slots = np.flatnonzero(often)
         if len(slots) <= ACTIVE:
             return slots
-        r, s = rows[keep], share[slots]
+        place = np.full(self.slots, -1, np.int32)
+        place[slots] = np.arange(len(slots))
+        keep = np.flatnonzero(often[at] & fit[rows])
+        t, r, s = place[at[keep]], rows[keep], share[slots]
+        del keep
         scale, left = 1 / np.sqrt(s * (1 - s)), (y - _sigmoid(linear)) * fit
         size = np.zeros(len(slots))
-        own = scale**2 * (np.bincount(t, left[r], len(slots)) * (1 - 2 * s) + s * s * left.sum())  # the matrix's diagonal
+        own = scale**2 * (_summed(t, left, r, len(slots)) * (1 - 2 * s) + s * s * left.sum())  # the matrix's diagonal
         for _ in range(PROJECTIONS):
             g = rng.choice((-1.0, 1.0), len(slots))
-            seen = np.bincount(r, (g * scale)[t], len(y)) - (g * scale) @ s
+            seen = _summed(r, g * scale, t, len(y)) - (g * scale) @ s
             said = seen * left
-            size += ((np.bincount(t, said[r], len(slots)) - s * said.sum()) * scale - own * g) ** 2
+            size += ((_summed(t, said, r, len(slots)) - s * said.sum()) * scale - own * g) ** 2
         return slots[np.sort(np.argsort(size, kind="stable")[-ACTIVE:])]
 
 
+def _spans(n: int) -> list[slice]:
+    """Rows that are unrolled at once."""
+    return [slice(i, min(i + SPAN, n)) for i in range(0, n, SPAN)]
+
+
+def _summed(to: np.ndarray, values: np.ndarray, of: np.ndarray, size: int, step: int = 500_000) -> np.ndarray:
+    """The sums of ``values[of]`` by ``to``, some entries at a time to bound memory."""
+    return sum((np.bincount(to[i : i + step], values[of[i : i + step]], size) for i in range(0, len(to), step)), np.zeros(size))
+
+
 def _loss(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, logits) - y * logits)) if len(y) else 0.0
 
@@ -232,7 +245,8 @@ def _factors(z: np.ndarray, linear: np.ndarray, y: np.ndarray, terms: int, rng:
     V[:, : min(FACTORS, len(values))] = (vectors * np.sqrt(np.maximum(values, 0)))[:, ::-1][:, :FACTORS]
     on = np.abs(V).max(1) > 0.05 * np.abs(V).max()
     V[~on] = 0
-    zo, squares = z[:, on].astype(np.float64), (z[:, on] ** 2).astype(np.float64)
+    zo = z[:, on]
+    squares = zo * zo
     p = {"b": np.zeros(1), "w": np.zeros(on.sum()), "V": V[on]}
     first, second = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     for step in range(1, FACTOR_STEPS + 1):
@@ -278,8 +292,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not len(y) or y.min() == y.max():
         model.p["b"][0] = -30.0
         return model
-    ids = [c.flatten().to_numpy() for c in found["ids"].chunks]
-    model.fit_flat(np.concatenate(ids), pc.list_value_length(found["ids"]).to_numpy().astype(np.int64), y)
+    at, n = np.concatenate([c.flatten().to_numpy() for c in found["ids"].chunks]), pc.list_value_length(found["ids"]).to_numpy().astype(np.int64)
+    del found
+    model.fit_flat(at, n, y)
     return model
 
 
