@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from gleanery.stage import fresh
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, files_at_once: int = 8) -> DataFrame:
-    """A table, one file or a folder of files, as a stream."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_at_once: int = 256) -> DataFrame:
+    """A table, one file or a folder of any number of files, as a stream. Every batch costs its jobs, so it takes many files."""
     path = f"{sf_dir}/{name}.parquet"
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
     source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once)
-    single = spark.read.format("binaryFile").load(path).limit(2).count() == 1
+    single = here.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(here).isFile()
     return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if single else source.parquet(path)
 
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str = "events", files_at_once: int = 8) -> DataFrame:
+def stream_of(spark: SparkSession, sf_dir: str, name: str = "events", files_at_once: int = 256) -> DataFrame:
     """A table with a time column as a stream; its time is made a TIMESTAMP, which watermarks need."""
     return table_stream(spark, sf_dir, name, files_at_once).withColumn("ts", F.col("ts").cast("timestamp"))
 

@@ -45,7 +45,9 @@ class Watch:
         return self.spark.read.parquet(f"{self.folder}/{self.batches()[-1]}/{name}")
 
     def works(self) -> DataFrame:
-        """(id, work) of all records so far."""
+        """(id, work) of all records so far; none before the first batch."""
+        if not self.batches():
+            return self.spark.createDataFrame([], "id long, work long")
         return self.table("works").select("id", "work")
 
     def apply(self, batch: DataFrame, number: int) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanery.stage import fresh
 from gleanery.streaming import revisions, watch
-from gleanery.streaming.events import drain
+from gleanery.streaming.events import drain, table_stream
 
 
 pytestmark = pytest.mark.usefixtures("few_partitions")
@@ -98,3 +98,15 @@ def test_aliases_of_a_record(spark):
     df = spark.createDataFrame(rows, "p string, n string, d string, i string, o string")
     found = [r[0] for r in df.select(watch.aliases(F.col("p"), F.col("n"), F.col("d"), pmid=F.col("i"), openalex=F.col("o"))).collect()]
     assert found == [["pubmed:12", "doi:10.1000/x", "pmid:W1", "openalex:W9"], ["arxiv:1"], ["a:b", "pmid:p", "openalex:p"]]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_is_a_folder_of_any_number_of_files(spark, files):
+    folder = fresh(spark, "tables")
+    spark.range(9).repartition(files).write.parquet(f"{folder}/documents.parquet")
+    spark.range(4).coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    assert sorted(r["id"] for r in drain(table_stream(spark, folder, "documents")).collect()) == list(range(9))
+
+
+def test_a_watch_before_its_first_batch_knows_no_works(spark):
+    assert watch.Watch(spark, fresh(spark, "watch")).works().count() == 0
