@@ -259,7 +259,9 @@ FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
 def e17_library_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = _t(spark, sf_dir, "orders", "customer")
     g = c.join(o, c["c_custkey"] == o["o_custkey"]).groupBy("c_custkey")
-    return g.agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("o_orderstatus").alias("states"), F.max_by("o_orderkey", "o_totalprice").alias("representative"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("newest"))
+    # The dearest order, of equal prices the first; an order without a key or price represents nothing.
+    priced = F.when(F.col("o_orderkey").isNotNull() & F.col("o_totalprice").isNotNull(), F.struct("o_totalprice", -F.col("o_orderkey")))
+    return g.agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("o_orderstatus").alias("states"), F.max_by("o_orderkey", priced).alias("representative"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("newest"))
 
 
 @query(

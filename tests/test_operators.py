@@ -69,3 +69,15 @@ def test_fold_keeps_no_mark_and_no_ligature(spark):
     words = ["buses", "classes", "boxes", "studies", "gas", "bus", "analysis", "ties", "cats", "heroes"]
     found = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, w string").select("id", T.singular(F.col("w")).alias("s")).orderBy("id").collect()
     assert [r["s"] for r in found] == ["bus", "class", "box", "study", "gas", "bus", "analysis", "tie", "cat", "heroe"]
+
+
+def test_of_equal_prices_the_first_order_represents(spark):
+    from gleanery.plans.relational import e17_library_rollup
+    from gleanery.stage import fresh
+
+    folder = fresh(spark, "tables")
+    rows = [(3, 1, "F", 5.0), (1, 1, "O", 5.0), (2, 1, "F", 5.0), (9, 1, "F", None), (4, 2, "F", 1.0), (None, 2, "F", 7.0)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+    orders.withColumn("o_orderdate", F.lit("2024-01-01").cast("timestamp")).coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(1,), (2,)], "c_custkey long").write.parquet(f"{folder}/customer.parquet")
+    assert {r["c_custkey"]: r["representative"] for r in e17_library_rollup(spark, folder).collect()} == {1: 1, 2: 4}
