@@ -1,10 +1,12 @@
 """Full-text search of passages over a stored inverted index, with the best k found by block maxima.
 
-Passages are dealt to segments of up to ``SEGMENT`` neighbours. A posting list is a row per (term, segment): the passages of
-the segment that hold the term, with frequency and length, and the largest weight among them. So a term that a third of all
-passages hold is many bounded rows, and no task gathers it. Rows lie in folders by hashed term: a search reads the folders of
-its terms, first only the maxima. The sum of its terms' maxima bounds what a segment can hold for a query. The most promising
-segments are read first; the kth best score found there is a floor, and segments whose bound lies beneath it are never read.
+Passages are dealt to segments of up to ``2 ** SEGMENT_BITS`` neighbours. A posting list is a row per (term, segment): the places
+in the segment that hold the term, with their weights, and the largest weight among them. So a term that a third of all passages
+hold is many bounded rows, and no task gathers it. Ids and sources stand once a segment. Lists lie in folders by hashed term: a
+search reads the folders of its terms, first only the maxima. The sum of its terms' maxima bounds what a segment can hold for a
+query. The most promising segments are read first; the kth best score found there is a floor, and segments whose bound lies
+beneath it are never read. A segment meets all its queries in one task and gives each at most k passages, so no row is made
+for a passage that merely shares a word with a query.
 
 Scores are BM25 with k1 = 1.2 and b = 0.75; the inverse frequency is ln((n - df + 0.5) / (df + 0.5)), at least 1e-6.
 
@@ -14,19 +16,23 @@ count once; equal scores are ordered by passage id; passage ids are distinct.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.stage import fresh, stored
+from gleanery.stage import discard, fresh, stored
 
 # The parameters of the score.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Passages of a segment (a power of two), folders of terms, segments that a query reads before it has a floor.
-SEGMENT_BITS, FOLDERS, PROBES = 10, 64, 4
-SEGMENT = 1 << SEGMENT_BITS
+SEGMENT_BITS, FOLDERS, PROBES = 10, 16, 4
 
 
 @dataclass(frozen=True)
@@ -34,37 +40,70 @@ class PassageIndex:
     """Paths of a stored index and the two numbers that every score needs."""
 
     postings: str
+    segments: str
     terms: str
     passages: int
     length: float
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.parquet(getattr(self, table))
+        found = spark.read.parquet(getattr(self, table))
+        return found.filter("folder >= 0").drop("ids", "sources") if table == "postings" else found
 
 
 def _folder(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
+_SEGMENTS = "segment long, ids array<long>, sources array<string>, term string, top double, n int, places array<smallint>, weights array<double>"
+
+
+def _segment(rows: pa.RecordBatch, segment: int, average: float) -> pa.RecordBatch:
+    """The lists of a segment's terms behind one row, of null term, with its ids and sources."""
+    lengths, words = rows["length"].to_numpy(), rows["tokens"].flatten().dictionary_encode()
+    size, width = len(words.dictionary), rows.num_rows
+    keys, tf = np.unique(words.indices.to_numpy().astype(np.int64) * width + np.repeat(np.arange(width), lengths), return_counts=True)
+    term, place = keys // width, keys % width
+    weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[place] / average))
+    first = np.searchsorted(term, np.arange(size))
+    ends = pa.array(np.concatenate(([0, 0], first[1:], [len(keys)]) if size else [0, 0]).astype(np.int32))
+    cells = {
+        "segment": pa.array(np.full(size + 1, segment)),
+        "ids": pa.array([rows["id"].to_pylist()] + [None] * size, pa.list_(pa.int64())),
+        "sources": pa.array([rows["source"].to_pylist()] + [None] * size, pa.list_(pa.string())),
+        "term": pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary.cast(pa.string())]),
+        "top": pa.array(np.concatenate(([0.0], np.maximum.reduceat(weights, first) if size else []))),
+        "n": pa.array(np.concatenate(([0], np.diff(np.append(first, len(keys))))).astype(np.int32)),
+        "places": pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int16))),
+        "weights": pa.ListArray.from_arrays(ends, pa.array(weights)),
+    }
+    return pa.RecordBatch.from_pydict(cells)
+
+
 def build(passages: DataFrame, id_col: str = "passage_id", source_col: str = "source", text_col: str = "text") -> PassageIndex:
     """The stored index of ``passages``.
 
-    Texts are read once and numbered as they are stored; the words of a segment meet in one task, which then makes its lists."""
-    spark = passages.sparkSession
-    tokens = passages.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), T.words(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"), F.monotonically_increasing_id().alias("row"))
-    kept = stored(tokens.select("id", "source", F.size("tokens").alias("length"), "tokens", F.shiftright("row", SEGMENT_BITS).alias("segment")), "passage-words")
+    Texts are read once and stored as words. Neighbours in a task are a segment, whose lists are made there: no word is shuffled."""
+    spark, size = passages.sparkSession, 1 << SEGMENT_BITS
+    tokens = passages.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), T.words(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    kept = stored(tokens.select("id", "source", F.size("tokens").alias("length"), "tokens"), "passage-words")
     n, length = kept.agg(F.count(F.lit(1)), F.avg("length")).first()
     length = float(length or 1.0)
-    words = kept.repartition("segment").select("segment", "id", "source", "length", F.explode("tokens").alias("term"))
-    counts = words.groupBy("segment", "term", "id", "source", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(length)))
-    lists = counts.withColumn("weight", weight).groupBy("segment", "term").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("id", "source", "weight")).alias("postings"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 33
+        for b in batches:
+            for start in range(0, b.num_rows, size):
+                yield _segment(pa.RecordBatch.from_pydict({c: pa.concat_arrays([b[c].slice(start, size)]) for c in b.schema.names}), at, length)
+                at += 1
+
     where = fresh(spark, "passage-index")
-    lists.withColumn("folder", _folder(F.col("term"))).repartition(F.col("folder"), F.pmod(F.xxhash64("segment"), F.lit(16))).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{where}/postings")
-    index = PassageIndex(f"{where}/postings", f"{where}/terms", n, length)
+    made = kept.mapInArrow(cut, _SEGMENTS).withColumn("folder", F.when(F.col("term").isNull(), -1).otherwise(_folder(F.col("term"))))
+    made.write.partitionBy("folder").parquet(f"{where}/lists")
+    index = PassageIndex(f"{where}/lists", f"{where}/lists/folder=-1", f"{where}/terms", n, length)
     if n:
         terms = index.read(spark, "postings").groupBy("folder", "term").agg(F.sum("n").alias("df"))
         terms.write.parquet(index.terms)
+    discard(kept)
     return index
 
 
@@ -83,16 +122,62 @@ def bounds(index: PassageIndex, asked: DataFrame, k: int) -> DataFrame:
     tops = index.read(asked.sparkSession, "postings").filter(F.col("folder").isin(folders)).select("term", "segment", "top")
     sums = tops.join(asked.select("query", "term", "idf"), "term").groupBy("query", "segment").agg(F.sum(F.col("idf") * F.col("top")).alias("bound"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "segment"))
-    return sums.withColumn("turn", F.when(place <= PROBES + k // SEGMENT, 1).otherwise(2))
-
-
-def _scores(index: PassageIndex, asked: DataFrame, segments: DataFrame, allowed: DataFrame | None, pinned: DataFrame | None) -> DataFrame:
-    """(query, id, source, score) of all passages in the given segments (query, segment) that hold a word of their query."""
+    return sums.withColumn("turn", F.when(place <= PROBES + (k >> SEGMENT_BITS), 1).otherwise(2))
+
+
+def _found_in(lists: pa.Table, ids: np.ndarray, sources: list[str], floors: dict[int, float], most: int | None, per_source: int | None) -> Iterator[tuple[int, int, str, float]]:
+    """(query, id, source, score) of one segment, best first; ``lists``: places, weights, queries and idf, a row a term."""
+    flat = lambda c: (lists[c].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists[c].combine_chunks().value_lengths().to_numpy()))))
+    (place, at), (weight, _), (query, asks) = flat("places"), flat("weights"), flat("queries")
+    weight = weight * np.repeat(lists["idf"].to_numpy(), np.diff(at))
+    term = np.repeat(np.arange(lists.num_rows), np.diff(asks))
+    order = np.argsort(query, kind="stable")
+    names, first = np.unique(query[order], return_index=True)
+    for name, terms in zip(names.tolist(), np.split(term[order], first[1:])):
+        if name not in floors:
+            continue
+        sums = np.zeros(len(ids))
+        for t in terms:  # a place stands once in a list
+            sums[place[at[t] : at[t + 1]]] += weight[at[t] : at[t + 1]]
+        score = np.round(sums, 9)
+        hits = np.flatnonzero((sums > 0) & (score >= floors[name]))
+        hits = hits[np.lexsort((ids[hits], -score[hits]))]
+        taken: Counter[str] = Counter()
+        left = most
+        for h in hits.tolist():
+            if left == 0:
+                break
+            if most is not None and per_source is not None:
+                taken[sources[h]] += 1
+                if taken[sources[h]] > per_source:
+                    continue
+            left = left and left - 1
+            yield name, int(ids[h]), sources[h], float(score[h])
+
+
+def _scores(index: PassageIndex, asked: DataFrame, segments: DataFrame, allowed: DataFrame | None, pinned: DataFrame | None, k: int, per_source: int | None) -> DataFrame:
+    """(query, id, source, score) of the passages in the given segments (query, segment, floor) that hold a word of their query.
+
+    Of a segment each query gets the ``k`` best that keep ``per_source`` and reach its floor: whatever stands before a passage
+    in its segment stands before it among all, or is beaten by as many of its own source. With ``allowed`` or ``pinned`` all come."""
+    most = k if allowed is None and pinned is None else None
     folders = [r["folder"] for r in asked.select("folder").distinct().collect()]
-    lists = index.read(asked.sparkSession, "postings").filter(F.col("folder").isin(folders)).select("term", "segment", "postings")
-    hits = lists.join(asked.select("query", "term", "idf"), "term").join(segments.select("query", "segment"), ["query", "segment"])
-    each = hits.select("query", "idf", F.explode("postings").alias("p")).select("query", "idf", "p.*")
-    found = each.groupBy("query", "id", "source").agg(F.round(F.sum(F.col("idf") * F.col("weight")), 9).alias("score"))
+    askers = asked.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list("query").alias("queries"))
+    lists = index.read(asked.sparkSession, "postings").filter(F.col("folder").isin(folders)).select("term", "segment", "places", "weights")
+    lists = lists.join(F.broadcast(segments.select("segment").distinct()), "segment", "left_semi").join(askers, "term").drop("term")
+    wanted = segments.groupBy("segment").agg(F.collect_list("query").alias("query"), F.collect_list(F.coalesce("floor", F.lit(float("-inf")))).alias("floor"))
+    places = index.read(asked.sparkSession, "segments").select("segment", "ids", "sources").join(wanted, "segment")
+
+    def score(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"query": [], "id": [], "source": [], "score": []}
+        if mine.num_rows and theirs.num_rows:
+            row = theirs.slice(0, 1).to_pylist()[0]
+            for q, id_, source, s in _found_in(mine, np.array(row["ids"]), row["sources"], dict(zip(row["query"], row["floor"])), most, per_source):
+                for name, v in zip(out, (q, id_, source, s)):
+                    out[name].append(v)
+        return pa.table({"query": pa.array(out["query"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "source": pa.array(out["source"], pa.string()), "score": pa.array(out["score"], pa.float64())})
+
+    found = lists.groupBy("segment").cogroup(places.groupBy("segment")).applyInArrow(score, "query long, id long, source string, score double")
     if pinned is not None:  # a pinned source is searched within its pinned passages alone
         sources = pinned.select("query", "source").distinct().withColumn("_is_pinned", F.lit(True))
         inside = pinned.select("query", "source", "id").distinct().withColumn("_inside", F.lit(True))
@@ -128,9 +213,10 @@ def search(index: PassageIndex, queries: DataFrame, k: int = 10, allowed: DataFr
         return Found(spark.createDataFrame([], schema), spark.createDataFrame([], "query long, segment long, bound double, turn int"))
     asked = stored(_asked(index, queries), "asked")
     tried = stored(bounds(index, asked, k), "segment-bounds")
-    first = stored(_scores(index, asked, tried.filter("turn = 1"), allowed, pinned), "first-scores")
+    limits = allowed, pinned, k, per_source
+    first = stored(_scores(index, asked, tried.filter("turn = 1").withColumn("floor", F.lit(None).cast("double")), *limits), "first-scores")
     floor = _best(first, k, per_source).filter(F.col("place") == k).select("query", F.col("score").alias("floor"))
     # A bound is a sum of rounded products: a hair below the floor may still be a tie.
-    read = stored(tried.join(floor, "query", "left").withColumn("turn", F.when((F.col("turn") == 2) & (F.col("bound") < F.col("floor") - 1e-6), 0).otherwise(F.col("turn"))).drop("floor"), "segments-read")
-    rest = _scores(index, asked, read.filter("turn = 2"), allowed, pinned)
-    return Found(_best(first.unionByName(rest.select(*first.columns)), k, per_source), read)
+    read = stored(tried.join(floor, "query", "left").withColumn("turn", F.when((F.col("turn") == 2) & (F.col("bound") < F.col("floor") - 1e-6), 0).otherwise(F.col("turn"))), "segments-read")
+    rest = _scores(index, asked, read.filter("turn = 2"), *limits)
+    return Found(_best(first.unionByName(rest.select(*first.columns)), k, per_source), read.drop("floor"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import composed as C, evidence, passage_index, signals
 from gleanery.plans.ranking import _W, BLOCKS_SQL, _blocks, _bm25_sql, mean_sql, query_words
 from gleanery.registry import query
-from gleanery.sources.tables import pool, read, tokens_sql
+from gleanery.sources.tables import pool, read, spread, tokens_sql
 from gleanery.stage import stored
 
 #: The verified seeds, and which of them came as a PDF.
@@ -99,8 +99,7 @@ def j12_replayed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(passage_id, source, text): the documents' passages of fixed length."""
-    docs = read(spark, sf_dir, "documents")
-    cut = evidence.fixed_passages(docs).join(docs.select("doc_id", "source"), "doc_id")
+    cut = evidence.fixed_passages(spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text")), keep=["source"])
     return cut.select((F.col("doc_id") * 100_000 + F.col("chunk_no")).alias("passage_id"), "source", F.col("chunk").alias("text"))
 
 

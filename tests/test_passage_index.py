@@ -112,3 +112,14 @@ def test_empty_inputs(spark, indexed):
     empty = P.build(spark.createDataFrame([], "passage_id long, source string, text string"))
     assert P.search(empty, spark.createDataFrame(QUERIES, "query long, text string")).hits.count() == 0
     assert P.search(indexed[1], spark.createDataFrame([], "query long, text string")).hits.count() == 0
+
+
+def test_a_segment_gives_a_query_at_most_k_rows(spark, indexed):
+    rows, index = indexed
+    asked = P._asked(index, spark.createDataFrame([(5, "w0 w2")], "query long, text string"))
+    tried = P.bounds(index, asked, 3)
+    found = P._scores(index, asked, tried.selectExpr("query", "segment", "CAST(NULL AS DOUBLE) AS floor"), None, None, 3, 2).collect()
+    assert len(found) <= 3 * tried.count() < sum("w2" in (t or "").split() for _, _, t in rows)
+    best = sorted(((-r["score"], r["id"]) for r in found))[0]
+    assert best[1] == brute(rows, "w0 w2", 1)[0][0]
+    assert "ids" not in index.read(spark, "postings").columns  # ids and sources stand once a segment
