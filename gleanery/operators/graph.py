@@ -11,22 +11,40 @@ from gleanery.stage import discard, stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): weakly connected components named by their smallest node.
 
-    Each round every node takes the smallest label of its neighbours and of its label's label; rounds are
-    written to the shared folder and go on until no label changes.
+    Each round every node goes to the first of its neighbours and itself, in an order by hash that is new each round, and the
+    edges between the places reached are the next round's graph: about half its nodes, chains too, and no node without a
+    neighbour. When no edge is left the rounds' steps are joined, last first.
     """
-    both = stored(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct(), "edges")
-    before = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("root", F.col("node")), "labels")
-    while True:
-        labels = before.select("node", "root")
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("seen"))
-        step = labels.join(near, "node", "left").select("node", F.least("root", F.coalesce("seen", "root")).alias("root"), F.col("root").alias("old"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = stored(step.join(jump, "root").select("node", F.col("up").alias("root"), "old"), "labels")
+    every = edges.select("src", "dst")
+    left = stored(every.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "edges")
+    steps = []
+    while not left.isEmpty():
+        first = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        ends = left.select(F.inline(F.array(F.struct(F.col("a").alias("node"), first("b").alias("near")), F.struct(F.col("b").alias("node"), first("a").alias("near")))))
+        step = stored(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("near", first("node"))["to"].alias("to")), "steps")
+        steps.append(step)
+        side = lambda s: step.select(F.col("node").alias(s), F.col("to").alias(f"t{s}"))  # noqa: B023, E731
+        moved = left.join(side("a"), "a").join(side("b"), "b").filter("ta <> tb")
+        before, left = left, stored(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
         discard(before)
-        before = after
-        if after.filter("root <> old").isEmpty():
-            discard(both)
-            return after.select("node", "root")
+    places = None
+    for step in reversed(steps):
+        before = places
+        if places is None:
+            places = step.select("node", F.col("to").alias("place"))
+        else:
+            later = places.select(F.col("node").alias("to"), F.col("place").alias("later"))
+            places = stored(step.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("place")), "places")
+            discard(before)
+    alone = every.filter("src = dst").select(F.col("src").alias("node"))
+    if places is None:
+        return stored(alone.distinct().withColumn("root", F.col("node")), "labels")
+    roots = places.groupBy("place").agg(F.min("node").alias("root"))
+    found = places.join(roots, "place").select("node", "root").unionByName(alone.withColumn("root", F.col("node")))
+    labels = stored(found.groupBy("node").agg(F.min("root").alias("root")), "labels")
+    for done in (*steps, places):
+        discard(done)
+    return labels
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:

@@ -90,3 +90,16 @@ def test_a_filter_repeats_no_regular_expression(spark):
     found = signals.block_score(tables.pool(spark, "/root/testdata/sf0.001"), {"x": ["a", "b"], "y": ["c", "d"]}).filter("forms > 0")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 3  # the text's chunks, the title's words, all words
+
+
+def test_the_graph_of_components_shrinks_by_rounds(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, tag, stored=graph.stored):
+        kept = stored(df, tag)
+        sizes.extend([kept.count()] if tag == "edges" else [])
+        return kept
+
+    monkeypatch.setattr(graph, "stored", counted)
+    assert graph.components(spark.range(600).selectExpr("id AS src", "id + 1 AS dst")).filter("root = 0").count() == 601
+    assert sizes[-1] == 0 and len(sizes) > 3 and all(b < 0.8 * a for a, b in zip(sizes, sizes[1:]) if a > 50)
