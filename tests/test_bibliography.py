@@ -153,3 +153,12 @@ def test_tables_there_and_back(spark, tmp_path):
     for folder in ("bib", "ris"):
         back = B.read_entries(spark, str(tmp_path / folder), glob="*.txt").orderBy("key").select("key", "title", "authors", "year", "doi", "error")
         assert [tuple(r) for r in back.collect()] == [(*tuple(r), None) for r in df.collect()]
+
+
+def test_more_entries_than_a_batch_come_whole(spark, tmp_path):
+    from gleanery.sources import bibliography
+
+    n = 2 * bibliography.BATCH + 1
+    (tmp_path / "many.ris").write_text("".join(f"TY  - JOUR\nID  - r{i}\nTI  - Title {i}\nER  - \n" for i in range(n)))
+    found = bibliography.read_entries(spark, str(tmp_path))
+    assert (found.count(), found.select("key").distinct().count()) == (n, n)
