@@ -75,3 +75,13 @@ def test_files(spark, tmp_path):
         by.setdefault(r["path"].rsplit("/", 1)[1], []).append(r)
     assert [(r["kind"], r["level"], r["section"], r["text"]) for r in sorted(by["a.xml"], key=lambda r: r["block_no"])] == WANT
     assert by["b.xml"][0]["error"] == "unreadable" and by["c.xml"][0]["error"] == "too_large"
+
+
+def test_blocks_leave_in_bounded_frames():
+    import pandas as pd
+
+    from gleanery.sources import jats
+
+    article = b"<article><body><sec><title>T</title>" + b"<p>word</p>" * 99 + b"</sec></body></article>"
+    frames = list(jats.parse_rows(iter([pd.DataFrame({"path": [str(i) for i in range(200)], "content": [article] * 200})])))
+    assert sum(map(len, frames)) == 200 * 100 and max(map(len, frames)) < 2200
