@@ -108,21 +108,25 @@ def _has_references(seeds: DataFrame) -> bool:
     return bool(seeds.filter(F.size("references") > 0).limit(1).count())
 
 
-def rank_pool(records: DataFrame, verified: DataFrame, question: Question, similarities: DataFrame | None = None) -> Ranked:
-    """All signals of the pool, ranked: BM25 and blocks choose the code seeds of the graph beside the verified ones."""
+def graph_seeds(records: DataFrame, verified: DataFrame, question: Question) -> tuple[DataFrame, DataFrame]:
+    """(id, bm25, blocks) of every record, and the graph's seeds: the verified ones, then the first of BM25 and blocks."""
     names = [c for c in records.columns if c != "seed_pdf"]
-    nearest = question.graph_rule == "seed_max_v2"
-    reasons: dict[str, str] = {}
     block = signals.block_score(records, question.blocks).select("id", (F.col("in_title") * 1000.0 + F.col("forms")).alias("blocks"))
     lexical = stored(signals.bm25(signals.whole(records), question.words).withColumnRenamed("score", "bm25").join(block, "id"), "lexical")
     first = ranks.rank_all(lexical, ["bm25", "blocks"]).select("id", ranks.rrf(["bm25", "blocks"]).alias("fused"))
-    pdf = F.col("seed_pdf") if nearest else F.lit(False)
-    n_verified, n_others = verified.agg(F.count(F.lit(1)), F.count_if(~pdf)).first()
+    pdf = F.col("seed_pdf") if question.graph_rule == "seed_max_v2" else F.lit(False)
+    n_others = verified.agg(F.count_if(~pdf)).first()[0]
     code = _seeds(_is_seeded(records.select(*names), verified, True), first, FIRST_SEEDS - n_others)
-    seeds = stored(verified.select(*names, "seed_pdf").unionByName(code.select(*names, "seed_pdf")), "graph-seeds")
+    return lexical, stored(verified.select(*names, "seed_pdf").unionByName(code.select(*names, "seed_pdf")), "graph-seeds")
+
 
+def rank_pool(records: DataFrame, verified: DataFrame, question: Question, similarities: DataFrame | None = None) -> Ranked:
+    """All signals of the pool, ranked: BM25 and blocks choose the code seeds of the graph beside the verified ones."""
+    nearest = question.graph_rule == "seed_max_v2"
+    reasons: dict[str, str] = {}
+    lexical, seeds = graph_seeds(records, verified, question)
     scored, has = lexical, {}
-    if n_verified:
+    if not verified.isEmpty():
         dots = _not_own(signals.tfidf_dots(signals.whole(records), signals.whole(verified)), records, verified)
         best = dots.groupBy("id").agg(F.round(F.max("dot"), 9).alias("tfidf"))
         scored = scored.join(best, "id", "left").fillna(0.0, ["tfidf"])

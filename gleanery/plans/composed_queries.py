@@ -79,8 +79,8 @@ ti2 AS (SELECT id, first, base, again, CASE WHEN first <= {C.HEAD} THEN 0 WHEN b
 @query("j11_graph_seeds", f"WITH {_FIRST} SELECT id, pdf FROM sd")
 def j11_graph_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph's seeds: verified records, then the top of BM25 and blocks that is none of their works."""
-    r = records(spark, sf_dir)
-    return C.rank_pool(r, verified(r), question(spark, sf_dir)).seeds.select("id", F.col("seed_pdf").alias("pdf"))
+    r = stored(records(spark, sf_dir), "manifest")
+    return C.graph_seeds(r, verified(r), question(spark, sf_dir))[1].select("id", F.col("seed_pdf").alias("pdf"))
 
 
 @query("j6_graph_scores", f"WITH {_FIRST}, {_graph_sql('g', 'vf', True)} SELECT id, round(score, 6) AS score FROM g")
