@@ -108,11 +108,15 @@ def _has_references(seeds: DataFrame) -> bool:
     return bool(seeds.filter(F.size("references") > 0).limit(1).count())
 
 
-def graph_seeds(records: DataFrame, verified: DataFrame, question: Question) -> tuple[DataFrame, DataFrame]:
-    """(id, bm25, blocks) of every record, and the graph's seeds: the verified ones, then the first of BM25 and blocks."""
+def graph_seeds(records: DataFrame, verified: DataFrame, question: Question, words: DataFrame | None = None, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, bm25, blocks) of every record, and the graph's seeds: the verified ones, then the first of BM25 and blocks.
+
+    ``words`` and ``terms``: the records' runs and counted terms, where the caller has them."""
+    words = signals.runs(records) if words is None else words
+    terms = signals.term_counts(words) if terms is None else terms
     names = [c for c in records.columns if c != "seed_pdf"]
-    block = signals.block_score(records, question.blocks).select("id", (F.col("in_title") * 1000.0 + F.col("forms")).alias("blocks"))
-    lexical = stored(signals.bm25(signals.whole(records), question.words).withColumnRenamed("score", "bm25").join(block, "id"), "lexical")
+    block = signals.run_block_score(words, question.blocks).select("id", (F.col("in_title") * 1000.0 + F.col("forms")).alias("blocks"))
+    lexical = stored(signals.term_bm25(terms, question.words).withColumnRenamed("score", "bm25").join(block, "id"), "lexical")
     first = ranks.rank_all(lexical, ["bm25", "blocks"]).select("id", ranks.rrf(["bm25", "blocks"]).alias("fused"))
     pdf = F.col("seed_pdf") if question.graph_rule == "seed_max_v2" else F.lit(False)
     n_others = verified.agg(F.count_if(~pdf)).first()[0]
@@ -124,10 +128,12 @@ def rank_pool(records: DataFrame, verified: DataFrame, question: Question, simil
     """All signals of the pool, ranked: BM25 and blocks choose the code seeds of the graph beside the verified ones."""
     nearest = question.graph_rule == "seed_max_v2"
     reasons: dict[str, str] = {}
-    lexical, seeds = graph_seeds(records, verified, question)
+    words = signals.runs(records)
+    terms = signals.term_counts(words)
+    lexical, seeds = graph_seeds(records, verified, question, words, terms)
     scored, has = lexical, {}
     if not verified.isEmpty():
-        dots = _not_own(signals.tfidf_dots(signals.whole(records), signals.whole(verified)), records, verified)
+        dots = _not_own(signals.tfidf_dots(terms, signals.whole(verified)), records, verified)
         best = dots.groupBy("id").agg(F.round(F.max("dot"), 9).alias("tfidf"))
         scored = scored.join(best, "id", "left").fillna(0.0, ["tfidf"])
         has["tfidf"] = F.col("_abstract")

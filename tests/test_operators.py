@@ -1,6 +1,8 @@
 """Operators on small fixtures against plain Python."""
 
+import math
 import random
+import re
 
 from gleanery.functions import text as T
 from gleanery.operators import graph, ranks, signals
@@ -103,3 +105,29 @@ def test_the_graph_of_components_shrinks_by_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "stored", counted)
     assert graph.components(spark.range(600).selectExpr("id AS src", "id + 1 AS dst")).filter("root = 0").count() == 601
     assert sizes[-1] == 0 and len(sizes) > 3 and all(b < 0.8 * a for a, b in zip(sizes, sizes[1:]) if a > 50)
+
+
+def test_words_cut_at_their_gaps_are_the_words(spark):
+    rng = random.Random(8)
+    texts = ["", "-", "a", "-a-", "a-b", "a--b", "'tis don’t", "a-\n", "x- y", "𝒜-b 𝄞 c", "é'", None] + ["".join(rng.choice("ab1é𝒜-'’ .\n") for _ in range(rng.randrange(12))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.words(F.col("t")).alias("w"), T.split_words(F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [r["w"] for r in rows]
+
+
+def test_tfidf_counts_words_inside_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(signals, "COMMON_WORDS", 2)  # most words are met in the shuffle
+    tokens = spark.createDataFrame([(1, ["a", "b", "a", "c"]), (2, ["a", "c", "d"]), (3, []), (4, ["a"]), (5, ["b", "e"])], "id long, tokens array<string>")
+    seeds = spark.createDataFrame([(9, ["b", "b", "c", "x"]), (8, ["d", "e"])], "id long, tokens array<string>")
+    found = signals.tfidf(tokens, seeds)
+    df = {"a": 3, "b": 2, "c": 2, "d": 1, "e": 1}
+
+    def vector(words):
+        raw = {w: (1 + math.log(words.count(w))) * math.log(5 / df[w]) for w in words if w in df}
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / size for w, x in raw.items()}
+
+    theirs = [vector(r["tokens"]) for r in seeds.collect()]
+    want = {r["id"]: round(max((sum(x * v.get(w, 0) for w, x in vector(r["tokens"]).items()) for v in theirs), default=0), 6) for r in tokens.collect()}
+    assert {r["id"]: r["score"] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(id#\d+L?, word#", plan)
