@@ -131,3 +131,25 @@ def test_tfidf_counts_words_inside_their_rows(spark, monkeypatch):
     assert {r["id"]: r["score"] for r in found.collect()} == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(id#\d+L?, word#", plan)
+
+
+def test_an_inverted_index_is_built_and_read_without_a_shuffle(spark):
+    texts = ["a b a", " x  x ", "one", "", None, "𝒜 b\tc 𝒜"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", T.inverted_index("t").alias("index"))
+    back = df.select("id", "index", T.from_inverted_index(F.col("index")).alias("t"))
+    rows = {r["id"]: r for r in back.collect()}
+    assert [rows[i]["t"] for i in range(6)] == [t or "" for t in texts]
+    assert [(e["word"], e["positions"]) for e in rows[0]["index"]] == [("a", [0, 2]), ("b", [1])]
+    assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similarity_by_numbers_is_that_of_the_trigram_sets(spark):
+    rng = random.Random(9)
+    made = lambda: "".join(rng.choice("abé𝒜ß \n<$") for _ in range(rng.randrange(14)))
+    pairs = [(None, "abc"), ("abc", ""), ("ab", "abc"), ("aaaa", "aaa")] + [(made(), made()) for _ in range(300)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, a string, b string")
+    both = df.withColumns({"x": T.normalize(F.col("a")), "y": T.normalize(F.col("b"))})
+    old = both.select("id", F.when((F.col("x") != "") & (F.col("y") != ""), T.jaccard(T.trigrams(F.col("x")), T.trigrams(F.col("y")))).alias("s"))
+    found = T.similarity(df, "a", "b")
+    assert {r["id"]: r["similarity"] for r in found.collect()} == {r["id"]: r["s"] for r in old.collect()}
+    assert "zip_with" not in found._jdf.queryExecution().executedPlan().toString()
