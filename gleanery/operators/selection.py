@@ -78,9 +78,16 @@ def batches(df: DataFrame, keys: Sequence[str], order: str, item: str, size: str
     return folded.select(*keys, F.col("x.i").alias(item), F.col("x.b").alias("batch"))
 
 
+#: Rows that a task of ``islands`` sorts, about: their number sets the tasks, so that a larger table takes more of them.
+ISLAND_ROWS = 1_000_000
+
+
 def islands(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
-    """(keys, first, last, n): runs of neighbouring positions."""
-    d = df.select(*keys, position).distinct()
+    """(keys, first, last, n): runs of neighbouring positions.
+
+    Rows are dealt once by their keys; distinct rows, places and runs are found where they lie."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ISLAND_ROWS))
+    d = df.select(*keys, position).repartition(tasks, *keys).distinct()
     run = F.col(position) - F.row_number().over(Window.partitionBy(*keys).orderBy(position))
     return d.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
 

@@ -153,3 +153,21 @@ def test_similarity_by_numbers_is_that_of_the_trigram_sets(spark):
     found = T.similarity(df, "a", "b")
     assert {r["id"]: r["similarity"] for r in found.collect()} == {r["id"]: r["s"] for r in old.collect()}
     assert "zip_with" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_islands_grow_with_the_rows(spark, monkeypatch):
+    from gleanery.operators import selection
+
+    monkeypatch.setattr(selection, "ISLAND_ROWS", 10)
+    rows = spark.range(1000).selectExpr("id % 7 AS k", "id DIV 7 + IF(id > 500, 3, 0) AS p")
+    found = selection.islands(rows.unionByName(rows), ["k"], "p")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and ", 200)" in plan
+    want = {}
+    for r in sorted({(r["k"], r["p"]) for r in rows.collect()}):
+        runs = want.setdefault(r[0], [])
+        if runs and runs[-1][1] == r[1] - 1:
+            runs[-1][1] = r[1]
+        else:
+            runs.append([r[1], r[1]])
+    assert sorted((r["k"], r["first"], r["last"], r["n"]) for r in found.collect()) == [(k, a, b, b - a + 1) for k in sorted(want) for a, b in want[k]]
