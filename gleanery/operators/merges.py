@@ -82,16 +82,15 @@ def _computed(records: DataFrame, links: DataFrame) -> DataFrame:
 
 def begin(records: DataFrame) -> Works:
     """The state of records (id, doi, published, created) without links."""
-    spark = records.sparkSession
-    none = spark.createDataFrame([], "a long, b long, seq long, undone boolean")
-    empty = spark.createDataFrame([], "id long, group long, work long")
-    nobody = spark.createDataFrame([], "id long, doi string, published boolean, created long")
-    return arrive(Works(nobody, none, empty, 0), records)
+    none = lambda **columns: records.sparkSession.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()])
+    nobody = none(id="long", doi="string", published="boolean", created="long")
+    return arrive(Works(nobody, none(a="long", b="long", seq="long", undone="boolean"), none(id="long", group="long", work="long"), 0), records)
 
 
 def arrive(state: Works, records: DataFrame) -> Works:
     """``state`` with new records, each a work of its own but for published ones of a DOI that is known."""
     new = records.select("id", "doi", F.coalesce("published", F.lit(False)).alias("published"), F.col("created").cast("long").alias("created"))
+    new = stored(new, "new-records")  # several steps read them
     every = stored(state.records.unionByName(new), "work-records")
     alone = new.select("id", F.col("id").alias("group"), F.col("id").alias("work"))
     works = stored(state.works.unionByName(alone), "works")

@@ -5,6 +5,8 @@ import random
 import pytest
 
 from gleanery.operators import merges as M
+from gleanery.plans import identity_queries
+from gleanery.sources import tables
 
 
 pytestmark = pytest.mark.usefixtures("few_partitions")
@@ -112,3 +114,27 @@ def test_external_links(spark):
     found = {(x["a"], x["b"]): (x["link_kind"], x["merge"], x["outcome"], x["source"]) for x in M.external_links(spark.createDataFrame(r, schema), named).collect()}
     assert found[(1, 2)] == ("same_work", True, "confirmed", "crossref")
     assert found[(3, 4)] == ("related_suspected", False, "disagree", "crossref") and found[(2, 4)][2] == "disagree"
+
+
+def test_new_records_are_read_once_for_all_steps(spark):
+    read = spark.sparkContext.accumulator(0)
+    source = spark.createDataFrame([(i, f"d{i}", i % 2 == 0, i) for i in range(50)], RECORDS)
+
+    def seen(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    state = M.begin(source.mapInPandas(seen, RECORDS))
+    assert works(state) == {i: i for i in range(50)} and read.value == 50
+
+
+def test_openings_are_read_once_and_titles_are_those_of_the_pool(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(30))
+    texts = [None, "", " \n\t ", "one", "  Two parts\x0b 𝒳 three\r\n", long, "\n" + long, " ".join(f"v{i}" for i in range(12)), " ".join(f"v{i}" for i in range(12)) + " ", "x" * 30_000 + " y", "\x00 a\x1f \x85b  c"]
+    docs = [(i, t, "s", "en", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, tables.titles(spark, str(tmp_path)).collect())) == sorted(map(tuple, tables.pool(spark, str(tmp_path)).select("id", "title").collect()))
+    openings = identity_queries._openings(spark, str(tmp_path))
+    assert openings.count() == len(texts) and not any("documents.parquet" in f for f in openings.inputFiles())
+    assert sorted(map(tuple, identity_queries._star(openings).collect())) == [(5, 6), (7, 8)]
