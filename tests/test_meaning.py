@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from gleanery.operators import evidence as E
 from gleanery.operators import meaning as M
 from gleanery.operators.evidence import locate_anchor
 
@@ -99,3 +100,15 @@ def test_coverage(spark):
     for i, (_, want) in enumerate(cases):
         assert found[i][:2] == want[:2] and found[i][3] == want[3] and (want[2] is None or found[i][2] == want[2])
     assert found[90] == (0, 1, "", False) and found[91] == (0, 0, "", True)
+
+
+def test_texts_come_to_python_a_few_at_a_time_and_once(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pair = spark.range(3).selectExpr("id", "'on the old canal' AS quote", "'Locks on the old canal.' AS passage", "CAST(NULL AS STRING) AS part")
+    texts = spark.range(2).selectExpr("id AS item_id", "'old canal' AS text")
+    held = E.exact_anchors(texts, pair.selectExpr("id AS doc_id", "passage AS text"))
+    for found in (M.guarded(pair).filter("guard.kind = 'exact'"), E.anchors(pair).filter("anchor.kind = 'exact'"), held):
+        steps = plan(found)
+        assert "Arrow" not in steps and "InPandas" not in steps  # those take batches of 10,000 rows
+        assert steps.count("BatchEvalPython") == 1 and found.count()
+    assert sorted(map(tuple, held.collect())) == [(i, d, "exact") for i in range(2) for d in range(3)]
